@@ -10,6 +10,7 @@ from kinsift.llm.exact_dedup import exact_duplicates
 from kinsift.llm.langid import identify_languages
 from kinsift.llm.mixing import pareto_mix
 from kinsift.llm.packing import pack_documents
+from kinsift.llm.warc import archive_and_resolve
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +33,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_resolve(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_source_mix": op4_source_mix,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_language_id": op8_language_id,
+    "op9_warc_revisits": op9_warc_revisits,
 }
 
 ORACLES: dict[str, str] = {
