@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinsift.llm.exact_dedup import exact_duplicates
+from kinsift.llm.jaccard import jaccard_components
 from kinsift.llm.langid import identify_languages
 from kinsift.llm.mixing import pareto_mix
 from kinsift.llm.packing import pack_documents
@@ -29,6 +30,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_source_mix": op4_source_mix,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_language_id": op8_language_id,
     "op9_warc_revisits": op9_warc_revisits,
 }
