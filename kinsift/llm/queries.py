@@ -12,6 +12,7 @@ from kinsift.llm.langid import identify_languages
 from kinsift.llm.mixing import pareto_mix
 from kinsift.llm.packing import pack_documents
 from kinsift.llm.warc import archive_and_resolve
+from kinsift.llm.html_text import extract_pages
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +43,12 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_and_resolve(_table(spark, sf_dir, "pages"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_extraction": op2_html_extraction,
     "op3_packing": op3_packing,
     "op4_source_mix": op4_source_mix,
     "op5_exact_dedup": op5_exact_dedup,
