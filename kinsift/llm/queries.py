@@ -13,6 +13,7 @@ from kinsift.llm.mixing import pareto_mix
 from kinsift.llm.packing import pack_documents
 from kinsift.llm.warc import archive_and_resolve
 from kinsift.llm.html_text import extract_pages
+from kinsift.llm.secrets import find_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +48,12 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_table(spark, sf_dir, "documents")).drop("found")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_secret_scan": op7_secret_scan,
     "op2_html_extraction": op2_html_extraction,
     "op3_packing": op3_packing,
     "op4_source_mix": op4_source_mix,
