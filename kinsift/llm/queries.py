@@ -14,6 +14,7 @@ from kinsift.llm.packing import pack_documents
 from kinsift.llm.warc import archive_and_resolve
 from kinsift.llm.html_text import extract_pages
 from kinsift.llm.secrets import find_secrets
+from kinsift.llm.token_counts import count_sections, sentence_sections
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +53,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents")).drop("found")
 
 
+def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_sections(_table(spark, sf_dir, "documents"), sections=sentence_sections)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_attribution": op1_token_attribution,
     "op7_secret_scan": op7_secret_scan,
     "op2_html_extraction": op2_html_extraction,
     "op3_packing": op3_packing,
