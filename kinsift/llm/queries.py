@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinsift.llm.exact_dedup import exact_duplicates
 from kinsift.llm.jaccard import jaccard_components
 from kinsift.llm.langid import identify_languages
+from kinsift.llm.media import find_copies, vector_planes
 from kinsift.llm.mixing import pareto_mix
 from kinsift.llm.packing import pack_documents
 from kinsift.llm.warc import archive_and_resolve
@@ -57,7 +59,13 @@ def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_sections(_table(spark, sf_dir, "documents"), sections=sentence_sections)
 
 
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has images: each vector of embeddings is read as a picture of 8 x 8 cells. Every 50th asks all."""
+    return find_copies(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, "vec_id", "embedding", vector_planes, most_bits=16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_image_copies": op10_image_copies,
     "op1_token_attribution": op1_token_attribution,
     "op7_secret_scan": op7_secret_scan,
     "op2_html_extraction": op2_html_extraction,
