@@ -793,3 +793,30 @@ def library_score(spark, d):
     verdict = F.element_at(F.array(*map(F.lit, decide.VERDICTS)), (F.col("p_size") % 4 + 1).cast("int"))
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("item"), verdict.alias("verdict"), F.col("p_brand").alias("truth"))
     return evaluate.library_score(rows.select("item", "verdict"), rows.select("item", "truth"))
+
+
+# ---- streams
+
+
+@query("SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_events(spark, d):
+    """The batch form of the streaming count: the same plan runs on a stream."""
+    from kinsift.streaming.ingest import windowed_counts
+
+    events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return windowed_counts(events).select(F.unix_micros("window.start").alias("start"), "event_type", "n")
+
+
+@query("SELECT doc_id AS item, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY text) THEN 'new' ELSE 'repeat' END AS verdict, min(doc_id) OVER (PARTITION BY text) AS of FROM documents")
+def incremental_ingest(spark, d):
+    from kinsift.plans.lineage import shared_path
+    from kinsift.streaming.ingest import arrivals, ingest
+
+    base = shared_path(spark, "ingest")
+    library = f"{base}/library"
+    spark.createDataFrame([], "item bigint, hash string, batch bigint").write.parquet(library)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs.write.parquet(f"{base}/inbox")
+    done = ingest(arrivals(spark, f"{base}/inbox", docs.schema, 10_000), library, f"{base}/answers", f"{base}/checkpoint", "doc_id", "text")
+    done.awaitTermination()
+    return spark.read.parquet(f"{base}/answers").select("item", "verdict", "of")
