@@ -20,7 +20,7 @@ def duck(sf):
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def said(v):
-        return "null" if v is None or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, float) else str(int(v)) if isinstance(v, bool) else str(v)
+        return "null" if v is None or v is pd.NA or v != v else f"{float(v):.6f}" if isinstance(v, (int, float)) else str(v)
 
     return sorted(tuple(said(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
