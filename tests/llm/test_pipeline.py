@@ -5,8 +5,8 @@ import pytest
 
 
 def test_stages(spark, tmp_path):
-    words = [f"alpha{i} beta{i} gamma{i}" for i in range(40)]
-    rows = [(i, " ".join(words[i % 7 : i % 7 + 20]) + f" own{i} " * 12, "en", f"s{i % 3}", 0) for i in range(30)]
+    letters = "abcdefghijklmnopqrstuvwxyzabcdef"
+    rows = [(i, " ".join(f"the{letters[i]} of{letters[k]}{letters[i]} and" for k in range(26)), "en", f"s{i % 3}", 0) for i in range(24)]
     rows += [(100, rows[0][1], "en", "s0", 0), (101, rows[1][1] + " end", "en", "s1", 0), (102, "12345 !!", "en", "s1", 0), (103, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [k for k, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "ngram_jaccard", "mixing", "packing"]
