@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +86,20 @@ def text_slices(column: pa.Array | pa.ChunkedArray, max_bytes: int = 4 << 20) ->
         first = last
 
 
+def small_batches(df: DataFrame) -> None:
+    """Has texts go to Python in batches of a few megabytes, whatever the number of rows: very long texts meet in no batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    with contextlib.suppress(Exception):  # a setting of newer versions
+        df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: a worker that waits for its next task should hold none of the last one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def blank_run(column: Column) -> Column:
     """Each run of blanks becomes one space; a lone space is not touched, so most texts are only scanned."""
     return F.regexp_replace(column, r"[\t-\r][ \t-\r]*| [ \t-\r]+", " ")

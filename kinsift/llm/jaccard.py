@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import join_by_hot_key, materialize, sized_join, unique_columns
+from kinsift.llm.common import give_back, join_by_hot_key, materialize, sized_join, small_batches, unique_columns
 from kinsift.llm.shingles import batch_sets, set_hash
 from kinsift.operators.components import connected_components
 
-OWNER_SHINGLES = 3_000_000
-FLUSH_SHINGLES = 2_000_000
+OWNER_SHINGLES = 1_500_000
+FLUSH_SHINGLES = 1_000_000
 BLOCK_CLASSES = 1024
 BLOCK_SHINGLES = 1_500_000
 LEVELS = (1, 2, 4, 8)
@@ -44,6 +44,7 @@ def _sizes(words: int):
             sets = [(len(s), set_hash(s)) for s in batch_sets(batch.column(1), words)]
             n, names = ([x[i] for x in sets] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64())], ["id", "n", "class"])
+        give_back()
 
     return run
 
@@ -96,6 +97,8 @@ def _send(words: int, owners: int):
                     names, sets, held = [], [], 0
         if sets:
             yield flush(names, sets)
+        del names, sets
+        give_back()
 
     return run
 
@@ -134,10 +137,13 @@ def _count(buckets: int):
         cuts = np.append(np.searchsorted(bucket, np.arange(buckets, dtype=np.uint64)), len(bucket))
         full = [j for j in range(buckets) if cuts[j + 1] > cuts[j]]
         cut = lambda a, j: a[cuts[j] : cuts[j + 1]]
-        return pa.table({
+        out = pa.table({
             "bucket": pa.array(full, pa.int32()), "class": pa.array([_planes(cut(name, j)) for j in full], pa.binary()), "size": pa.array([cut(size, j).tobytes() for j in full], pa.binary()),
             "token": pa.array([_planes(cut(token, j)) for j in full], pa.binary()), "df": pa.array([cut(df, j).tobytes() for j in full], pa.binary()),
         })
+        del token, name, size, df, bucket, order, by, shared, edge, tokens, classes, sizes
+        give_back()
+        return out
 
     return run
 
@@ -295,6 +301,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     above all others. Extra columns play no part; an empty table gives no rows. Shingles and sets are told
     apart by 64-bit hashes.
     """
+    small_batches(docs)
     source = unique_columns(docs, [id_col, text_col]).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     narrow = materialize(source.mapInArrow(_sizes(words), f"id {id_type}, n bigint, class bigint"), "sizes")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import materialize, text_slices, unique_columns
+from kinsift.llm.common import give_back, materialize, small_batches, text_slices, unique_columns
 
 UNDETERMINED = "und"
 GRAMS = (3, 5)
@@ -120,7 +120,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     texts: dict[str, int] = {}
     for batch in batches:
         languages = batch.column("lang").to_pylist()
-        for first, data, offsets in text_slices(pc.utf8_lower(batch.column("text"))):
+        for first, data, offsets in text_slices(pc.utf8_lower(batch.column("text")), 512 << 10):
             text, at = padded(data, offsets)
             for i in range(len(at) - 1):
                 one = text[at[i] : at[i + 1]]
@@ -132,6 +132,8 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, counts = np.unique(np.concatenate(lists), return_counts=True)
         for name, value in zip(out, (language, texts[language], grams.tobytes(), counts.astype(np.int32).tobytes()), strict=True):
             out[name].append(value)
+    seen.clear()
+    give_back()
     yield pa.RecordBatch.from_arrays([pa.array(out["lang"], pa.string()), pa.array(out["texts"], pa.int64()), pa.array(out["grams"], pa.binary()), pa.array(out["counts"], pa.binary())], list(out))
 
 
@@ -181,6 +183,7 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataF
     learned; else a learned language, of equal counts the first by name. score is the language's part of
     all languages' corrected counts, 0 if there are none. Whole texts are read; only they decide.
     """
+    small_batches(docs)
     rest = docs.select(*[docs[c] for c in docs.columns if c not in ("lang_pred", "score")])
     names = rest.columns
 
@@ -191,7 +194,7 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataF
             letters = pc.match_substring_regex(column, r"\pL").to_numpy(zero_copy_only=False)
             best, score = np.full(len(column), -1), np.zeros(len(column))
             if filters.languages:
-                for first, data, offsets in text_slices(pc.utf8_lower(column), 1 << 20):
+                for first, data, offsets in text_slices(pc.utf8_lower(column), 256 << 10):
                     counts = score_texts(filters, data, offsets)
                     top, total = counts.argmax(axis=1), counts.sum(axis=1)
                     best[first : first + len(top)] = top
@@ -199,6 +202,7 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataF
             known = letters & (best >= 0)
             said = np.array([*filters.languages, UNDETERMINED], object)[np.where(known, best, -1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(np.where(known, score, 0.0))], [*names, "lang_pred", "score"])
+        give_back()
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     return rest.mapInArrow(run, f"{types}, lang_pred string, score double")

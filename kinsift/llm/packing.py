@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import unique_columns
+from kinsift.llm.common import give_back, small_batches, unique_columns
 from kinsift.llm.tokens import byte_bpe
 
 
@@ -184,9 +184,10 @@ def pack_rows(df: DataFrame, key: str, columns: list[str], encode: Callable[[dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def examples() -> Iterator[Example]:
             for batch in batches:
-                for row in batch.to_pylist():
-                    for ids, mask in encode(row):
-                        yield row[key], ids, mask
+                for first in range(0, batch.num_rows, 100):
+                    for row in batch.slice(first, 100).to_pylist():
+                        for ids, mask in encode(row):
+                            yield row[key], ids, mask
 
         ready: list[dict] = []
 
@@ -200,7 +201,9 @@ def pack_rows(df: DataFrame, key: str, columns: list[str], encode: Callable[[dic
                 yield batch()
                 ready = []
         yield batch()
+        give_back()
 
+    small_batches(df)
     return unique_columns(df, [key, *columns]).mapInArrow(run, f"`{key}` {key_type}, {PIECES}")
 
 

@@ -71,7 +71,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> Itera
             yield np.zeros(0, np.uint64)
 
 
-def batch_sets(column: pa.Array, words: int = 5, max_bytes: int = 2 << 20) -> Iterator[np.ndarray]:
+def batch_sets(column: pa.Array, words: int = 5, max_bytes: int = 512 << 10) -> Iterator[np.ndarray]:
     for _, data, offsets in text_slices(column, max_bytes):
         yield from shingle_sets(data, offsets, words)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import unique_columns
+from kinsift.llm.common import small_batches, unique_columns
 from kinsift.llm.tokens import ByteBpe, byte_bpe
 
 RULES = ("most", "first", "last")
@@ -86,6 +86,7 @@ def count_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of section -1 with null start and finish. A null or empty text is one empty section. Rows that repeat an
     id are documents of their own. Extra columns play no part; an empty table gives no rows.
     """
+    small_batches(docs)
     rows = unique_columns(docs, [id_col, text_col]).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

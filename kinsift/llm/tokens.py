@@ -29,8 +29,9 @@ class ByteBpe:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.library_path, self._library = library_path, None
-        self._plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._single = tiktoken.Encoding("single", pat_str=SINGLE_BLANKS, mergeable_ranks=ranks, special_tokens={})
+        self._make = lambda name, pattern: tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self._pattern, self._plain = pattern, None
+        self._single = self._make("single", SINGLE_BLANKS)
         self._blanks, self._unsure = re.compile(r"\s\s"), re.compile(f"[{FIRST_UNSURE}-\U0010ffff]")
         self.byte_lengths = np.zeros(max(ranks.values()) + 2, np.int64)
         for word, rank in ranks.items():
@@ -46,7 +47,11 @@ class ByteBpe:
                 self._library = Tokenizer.from_file(self.library_path)
                 self._library.encode_special_tokens = True
             return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        encoding = self._plain if self._blanks.search(text) else self._single
+        encoding = self._single
+        if self._blanks.search(text):
+            if self._plain is None:
+                self._plain = self._make("plain", self._pattern)
+            encoding = self._plain
         return np.array(encoding.encode_ordinary(text), dtype=np.uint32)
 
 
