@@ -61,7 +61,7 @@ def op1_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table has images: each vector of embeddings is read as a picture of 8 x 8 cells. Every 50th asks all."""
-    return find_copies(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, "vec_id", "embedding", vector_planes, least=4, most_bits=16)
+    return find_copies(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, "vec_id", "embedding", vector_planes)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

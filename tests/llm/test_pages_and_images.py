@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kinsift.llm.html_text import blocks, extract_pages, main_text, scores
+from kinsift.llm import media
 from kinsift.llm.media import consensus, describe, find_copies, vector_planes
 
 PAGES = "page_id long, url string, html string"
@@ -96,3 +97,16 @@ def test_consensus_finds_the_turn():
     a = describe(picture(r)[None].astype(np.float32))
     n, scale, turn = consensus(a, a)
     assert n > 20 and abs(scale - 1) < 1e-6 and min(turn, 360 - turn) < 1e-3
+
+
+def test_no_descriptor_within_the_radius_is_missed():
+    r = np.random.default_rng(6)
+    bits = r.integers(0, 2, (300, 256), np.uint8)
+    near = np.repeat(bits, 3, axis=0)
+    for i, b in enumerate(near):
+        b[r.permutation(256)[: r.integers(0, 60)]] ^= 1
+    features = lambda b: media.Features(np.arange(len(b)), *(np.zeros(len(b), np.float32) for _ in range(4)), np.packbits(b, axis=1).view(np.uint32))
+    tables = media.HammingScan(features(bits))
+    for most in (0, 16, 40, 110, 256):
+        want = np.argwhere((bits[:, None] != near[None]).sum(axis=2) <= most)
+        assert sorted(zip(*tables.matches(features(near), most), strict=True)) == list(map(tuple, want))
