@@ -110,3 +110,15 @@ def test_no_descriptor_within_the_radius_is_missed():
     for most in (0, 16, 40, 110, 256):
         want = np.argwhere((bits[:, None] != near[None]).sum(axis=2) <= most)
         assert sorted(zip(*tables.matches(features(near), most), strict=True)) == list(map(tuple, want))
+
+
+def test_small_crops_and_strong_resizes_of_large_images(spark):
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(1):
+        p = sum(np.kron(r.normal(0, 12, (320 // k, 320 // k)), np.ones((k, k))) for k in (2, 4, 8, 16, 32)) * 1.2 + 128
+        rows += [(50 * i, packed(p)), (50 * i + 1, packed(p[130:210, 150:230])), (50 * i + 2, packed(p.reshape(80, 4, 80, 4).mean(axis=(1, 3))))]
+    df = spark.createDataFrame(rows, "id long, image struct<h:int,w:int,px:binary>")
+    found = {x["id"]: [q["query_id"] for q in x["links"]] for x in find_copies(df, F.col("id") % 50 == 0, "id", "image").collect()}
+    for i in range(1):
+        assert found[50 * i] == [] and all(found[50 * i + j] == [50 * i] for j in (1, 2))
