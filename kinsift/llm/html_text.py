@@ -1,8 +1,8 @@
 """Main text of web pages by consensus host paths.
 
-Every page scores its containers by the text that stands in their own blocks and not in links. A
-container's path is generalised to tags and classes, without numbers and places among siblings. Each page
-shares one vote among its paths; the votes of a host are summed in Spark and the best path wins. All pages
+Every page votes for its lowest container that holds nearly all of the text that is not in links. A
+container's path is generalised to tags and classes, without numbers and places among siblings. The votes of
+a host are summed in Spark and the best path wins. All pages
 are then read again and give the blocks below their host's path, or below their own best one if they lack it.
 """
 
@@ -30,7 +30,10 @@ RAW = "script|style|noscript|template|textarea|title|iframe|svg"
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 KEPT_WHOLE = frozenset(("article", "main"))
 
-#: Words of a class or id that tell what is not the article.
+#: The share of a page's text that the container it votes for holds at least.
+NEARLY = 0.9
+
+#: Words of a class or id that tell what is not the article, unless it holds more than half of the page's text.
 APART = frozenset(
     "ad ads adslot advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
@@ -44,10 +47,10 @@ _DIGITS = re.compile(r"\d+")
 
 
 class _Open:
-    __slots__ = ("tag", "path", "container", "parent", "skipped", "inside", "link")
+    __slots__ = ("tag", "path", "container", "parent", "skipped", "inside", "link", "apart", "whole")
 
-    def __init__(self, tag, path, container, parent, skipped, inside, link):
-        self.tag, self.path, self.container, self.parent, self.skipped, self.inside, self.link = tag, path, container, parent, skipped, inside, link
+    def __init__(self, tag, path, container, parent, skipped, inside, link, apart=(), whole=False):
+        self.tag, self.path, self.container, self.parent, self.skipped, self.inside, self.link, self.apart, self.whole = tag, path, container, parent, skipped, inside, link, apart, whole
 
 
 def _step(tag: str, attributes: str) -> tuple[str, bool]:
@@ -57,7 +60,7 @@ def _step(tag: str, attributes: str) -> tuple[str, bool]:
         for kind, *values in _NAMED.findall(attributes):
             value = next((v for v in values if v), "").lower()
             if kind.lower() == "class":
-                classes = sorted({_DIGITS.sub("N", c) for c in value.split()})
+                classes = sorted({_DIGITS.sub("N", c).replace("/", "|") for c in value.split()})
             if kind.lower() != "role" or value in ("navigation", "banner", "contentinfo", "complementary", "search"):
                 apart = apart or kind.lower() == "role" or not APART.isdisjoint(_WORDS.findall(value))
     return ".".join([tag, *classes]), apart
@@ -66,27 +69,21 @@ def _step(tag: str, attributes: str) -> tuple[str, bool]:
 def blocks(page: str, wanted: str | None = None) -> Iterator[tuple[str, str, bool, str, int]]:
     """(path of the container, of the container around it, below wanted, text, characters in links) for each block that is not set apart."""
     stack = [_Open("", "", "", "", False, False, False)]
-    words: list[str] = []
-    links = 0
+    # pieces of text: whether in a link, the elements around them whose names set them apart, whether in an article not set apart
+    words: list[tuple[str, bool, tuple[int, ...], bool]] = []
+    read: list[tuple[str, str, bool, list[tuple[str, bool, tuple[int, ...], bool]]]] = []
     at = 0
 
-    def flush() -> Iterator[tuple[str, str, bool, str, int]]:
-        nonlocal links
+    def flush() -> None:
         if words:
-            text = " ".join(html.unescape("".join(words)).split())
+            top = stack[-1]
+            read.append((top.container, top.parent, top.inside, words.copy()))
             words.clear()
-            if text:
-                top = stack[-1]
-                yield top.container, top.parent, top.inside, text, links
-        links = 0
 
     for m in _TOKEN.finditer(page):
         top = stack[-1]
         if m.start() > at and not top.skipped:
-            piece = page[at : m.start()]
-            words.append(piece)
-            if top.link:
-                links += len(piece)
+            words.append((page[at : m.start()], top.link, top.apart, top.whole))
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -95,12 +92,12 @@ def blocks(page: str, wanted: str | None = None) -> Iterator[tuple[str, str, boo
         if m[2]:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if tag in BLOCKS:
-                yield from flush()
+                flush()
             if depth:
                 del stack[depth:]
             continue
         if tag in BLOCKS:
-            yield from flush()
+            flush()
             # a block ends a paragraph that was left open, a list item the one before, and so on
             ends = CLOSED_BY.get(tag, set())
             for i in range(len(stack) - 1, 0, -1):
@@ -109,37 +106,64 @@ def blocks(page: str, wanted: str | None = None) -> Iterator[tuple[str, str, boo
                 elif stack[i].tag in BLOCKS:
                     break
         elif tag == "br":
-            words.append(" ")
+            words.append((" ", False, (), False))
         if tag in VOID:
             continue
         top = stack[-1]
         step, apart = _step(tag, m[4])
         path = f"{top.path}/{step}" if top.path else step
         holds = tag in CONTAINERS
+        around = (*top.apart, m.start()) if apart and tag not in ("html", "body") else top.apart
         stack.append(_Open(
             tag, path if tag in BLOCKS or tag == "html" else top.path, path if holds else top.container, top.container if holds else top.parent,
-            top.skipped or tag in SKIPPED or (apart and tag not in ("html", "body")), top.inside or (wanted is not None and path == wanted), top.link or tag == "a",
+            top.skipped or tag in SKIPPED, top.inside or (wanted is not None and path == wanted), top.link or tag == "a",
+            around, top.whole or (tag in KEPT_WHOLE and not around),
         ))
     if at < len(page) and not stack[-1].skipped:
-        words.append(page[at:])
-    yield from flush()
+        words.append((page[at:], stack[-1].link, stack[-1].apart, stack[-1].whole))
+    flush()
+    # the bulk is that of the text in articles that are not set apart, of all text if there are none
+    articles = any(whole and not apart and piece.strip() for *_, pieces in read for piece, _, apart, whole in pieces)
+    total, held = 0, defaultdict(int)
+    for *_, pieces in read:
+        for piece, _, apart, whole in pieces:
+            size = len(piece.strip()) if whole or not articles else 0
+            total += size
+            for element in apart:
+                held[element] += size
+    gone = {element for element, size in held.items() if 2 * size <= total}
+    for container, parent, inside, pieces in read:
+        kept = [(piece, link) for piece, link, apart, _ in pieces if gone.isdisjoint(apart)]
+        text = " ".join(html.unescape("".join(piece for piece, _ in kept)).split())
+        if text:
+            yield container, parent, inside, text, sum(len(piece) for piece, link in kept if link)
 
 
 def scores(page: str) -> dict[str, float]:
-    """Score of each container path of a page: text of its own blocks outside links, and half of that of the containers in it."""
+    """The container path that a page votes for, and its text less what is in links: none if the page has no text.
+
+    An article or main element that holds more than half of the text comes first; else it is the lowest
+    container that holds nearly all of it. Text counts for all containers around it.
+    """
+    read = [(container, max(0, len(text) - 2 * links), len(text)) for container, _, _, text, links in blocks(page)]
+    if not read:
+        return {}
+    worth = sum(w for _, w, _ in read)
     found: dict[str, float] = defaultdict(float)
-    for container, parent, _, text, links in blocks(page):
-        worth = max(0, len(text) - 2 * links)
-        found[container] += worth
-        if parent:
-            found[parent] += worth / 2
-    best: dict[str, float] = defaultdict(float)
-    for path, score in found.items():
-        # what stands in an article or main element is voted for as that element
-        parts = path.split("/")
-        whole = next((i for i, p in enumerate(parts) if p.split(".")[0] in KEPT_WHOLE), len(parts) - 1)
-        best["/".join(parts[: whole + 1])] += score
-    return best
+    for container, w, size in read:
+        parts = container.split("/")
+        for depth, part in enumerate(parts, 1):
+            tag = part.split(".")[0]
+            if tag in CONTAINERS or depth == len(parts):
+                found["/".join(parts[:depth])] += w if worth else size
+            if tag in KEPT_WHOLE:
+                # what stands in an article or main element is voted for as that element
+                break
+        found[""] += 0 if container == "" else w if worth else size
+    total = found[""]
+    whole = [path for path, score in found.items() if path.rsplit("/", 1)[-1].split(".")[0] in KEPT_WHOLE and 2 * score > total]
+    best = whole or [path for path, score in found.items() if score >= NEARLY * total]
+    return {max(best, key=lambda path: (path.count("/") + bool(path), path)): float(worth)}
 
 
 def main_text(page: str | None, wanted: str | None) -> str:

@@ -122,3 +122,11 @@ def test_small_crops_and_strong_resizes_of_large_images(spark):
     found = {x["id"]: [q["query_id"] for q in x["links"]] for x in find_copies(df, F.col("id") % 50 == 0, "id", "image").collect()}
     for i in range(1):
         assert found[50 * i] == [] and all(found[50 * i + j] == [50 * i] for j in (1, 2))
+
+
+def test_no_part_of_the_article_is_dropped():
+    lead, text = "lead " * 80, "text " * 120
+    split = f"<body><div class=story><div class=lead>{lead}</div><div class=text>{text}</div></div><div class=more>x</div></body>"
+    assert main_text(split, None) == f"{lead.strip()}\n{text.strip()}"
+    for page in (f"<body><div class='content has-sidebar'><p>{text}</p><div class=sidebar>side</div></div></body>", f"<body><article class='post no-comments'><p>{text}</p></article></body>"):
+        assert main_text(page, None) == text.strip()
