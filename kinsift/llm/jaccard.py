@@ -301,6 +301,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     above all others. Extra columns play no part; an empty table gives no rows. Shingles and sets are told
     apart by 64-bit hashes.
     """
+    return _components(docs, id_col, text_col, words, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """One row a document: id, n, component_id, class, keeper (the class of the component's row with the smallest id); no class without words."""
     small_batches(docs)
     source = unique_columns(docs, [id_col, text_col]).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
@@ -329,17 +334,42 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = connected_components(links)
     classes = materialize(narrow.filter("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")), "classes")
     joined = roots.withColumnRenamed("node", "class").join(classes, "class")
-    smallest = joined.groupBy("component").agg(F.min("first").alias("smallest"))
-    joined = materialize(sized_join(joined.select("class", "component"), materialize(smallest, "smallest"), "component", "inner").select("class", "smallest"), "linked")
-    classes = sized_join(classes, joined, "class", "left").select("class", "members", F.coalesce("smallest", "first").alias("component_id"))
+    least_row = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "class"))
+    smallest = joined.groupBy("component").agg(least_row.alias("s")).select("component", F.col("s.first").alias("smallest"), F.col("s.class").alias("keeper"))
+    joined = materialize(sized_join(joined.select("class", "component"), materialize(smallest, "smallest"), "component", "inner").select("class", "smallest", "keeper"), "linked")
+    classes = sized_join(classes, joined, "class", "left").select("class", "members", F.coalesce("smallest", "first").alias("component_id"), F.coalesce("keeper", "class").alias("keeper"))
     worded = narrow.filter("n > 0")
-    found = join_by_hot_key(worded, materialize(classes, "named"), "class", "members", max(1, total)).select("id", "n", "component_id")
-    wordless = narrow.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return found.unionByName(wordless).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    found = join_by_hot_key(worded, materialize(classes, "named"), "class", "members", max(1, total)).select("id", "n", "component_id", "class", "keeper")
+    wordless = narrow.filter("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(None).cast("bigint").alias("class"), F.lit(None).cast("bigint").alias("keeper"))
+    return found.unionByName(wordless)
+
+
+def _with_class(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    names = docs.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [set_hash(s) if len(s) else None for s in batch_sets(batch.column(names.index(text_col)), words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.int64())], [*names, "_class"])
+        give_back()
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with the smallest id of their component, with all their columns."""
-    result = jaccard_components(docs, id_col, text_col, **options)
-    gone = materialize(result.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct(), "gone")
-    return sized_join(docs, gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{types}, _class bigint")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each component, a row with its smallest id, with all its columns; all documents without words stay."""
+    result = materialize(_components(docs, id_col, text_col, words, percent), "near").select(F.col("id").alias("_id"), "class", "component_id", "keeper")
+    kept = F.col("class").isNull() | ((F.col("class") == F.col("keeper")) & F.col("_id").eqNullSafe(F.col("component_id")))
+    # ids of several rows, null among them: their rows are told apart by their classes
+    ids = result.groupBy("_id").agg((F.count(F.lit(1)) > 1).alias("again"), F.max(~kept).alias("goes")).filter("again or goes")
+    ids = materialize(ids, "gone")
+    rest = sized_join(docs, ids, docs[id_col].eqNullSafe(ids["_id"]), "left_anti")
+    again = materialize(ids.filter("again").select("_id"), "again")
+    if not again.limit(1).count():
+        return rest
+    repeated = materialize(_with_class(sized_join(docs, again, docs[id_col].eqNullSafe(again["_id"]), "left_semi"), text_col, words), "repeated")
+    stay = materialize(result.filter(kept & F.col("class").isNotNull()).join(again.withColumnRenamed("_id", "_a"), F.col("_id").eqNullSafe(F.col("_a")), "left_semi").select("_id", "class").distinct(), "stay")
+    worded = repeated.filter("_class is not null").dropDuplicates([id_col, "_class"])
+    worded = sized_join(worded, stay, worded[id_col].eqNullSafe(stay["_id"]) & (worded["_class"] == stay["class"]), "left_semi")
+    return rest.unionByName(worded.unionByName(repeated.filter("_class is null")).drop("_class"))

@@ -126,12 +126,21 @@ def pareto_mix(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix with all their columns, each repeated as often as the mix takes it.
 
-    Documents without words go. Rows that repeat an id, a source and a size share their copies evenly, rounded down.
+    Documents without words go. Rows that repeat an id, a source and a size share their copies evenly; of what
+    is left over, the first rows by text get one each.
     """
     taken = pareto_mix(docs, id_col, text_col, source_col, **options)
-    taken = taken.filter("taken > 0").groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
-    taken = materialize(taken.agg(F.floor(F.sum("copies") / F.count(F.lit(1))).cast("int").alias("_copies")), "copies")
+    taken = taken.filter("size > 0").groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"))
+    taken = taken.agg(F.sum("copies").alias("_sum"), F.count(F.lit(1)).alias("_rows")).filter("_sum > 0")
+    taken = materialize(taken.select("_id", "_source", "_size", F.expr("cast(_sum div _rows as int)").alias("_copies"), F.expr("cast(_sum % _rows as int)").alias("_over")), "copies")
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("bigint")
     on = docs[id_col].eqNullSafe(taken["_id"]) & docs[source_col].eqNullSafe(taken["_source"]) & (size == taken["_size"])
-    joined = sized_join(docs, taken, on, "inner").filter("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    own = [docs[c] for c in docs.columns]
+    repeat = lambda df: df.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    even, uneven = taken.filter("_over = 0"), taken.filter("_over > 0")
+    found = repeat(sized_join(docs, even, on, "inner")).select(*own)
+    if not uneven.limit(1).count():
+        return found
+    twin = F.row_number().over(Window.partitionBy("_id", "_source", "_size").orderBy(docs[text_col]))
+    dealt = sized_join(docs, uneven, on, "inner").withColumn("_twin", twin).withColumn("_copies", F.col("_copies") + (F.col("_twin") <= F.col("_over")).cast("int"))
+    return found.union(repeat(dealt).select(*own))

@@ -142,3 +142,12 @@ def test_near_duplicates_leave_one_a_group(spark):
     rows = [(1, text), (2, text + " more"), (3, "another text"), (4, None)]
     assert sorted(r["doc_id"] for r in drop_near_duplicates(spark.createDataFrame(rows, DOCS)).collect()) == [1, 3, 4]
     assert jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    text, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "wv")
+    rows = [(1, text), (None, text + " more"), (None, "a clean text"), (None, other), (None, other + " more"), (7, "one id"), (7, "two texts"), (7, text + " end"), (8, "same words here"), (8, "same  words here"), (9, None), (9, "")]
+    found = drop_near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", class int"))
+    stay = sorted((str(r["doc_id"]), " ".join((r["text"] or "").split())) for r in found.collect())
+    assert found.columns == ["doc_id", "text", "class"] and len(stay) == 8
+    assert [x for x in stay if not x[1].startswith(other)] == sorted([("1", text), ("None", "a clean text"), ("7", "one id"), ("7", "two texts"), ("8", "same words here"), ("9", ""), ("9", "")])

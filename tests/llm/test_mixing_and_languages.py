@@ -58,6 +58,14 @@ def test_mix_defined_cases(spark):
     assert pareto_mix(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id_share_their_copies(spark):
+    rows = [(None, f"w{i} x", "s") for i in range(40)] + [(9, f"y{i} z", "t") for i in range(7)] + [(5, "w " * 61, "u")]
+    df = spark.createDataFrame(rows, DOCS)
+    taken = pareto_mix(df).groupBy("source").agg({"copies": "sum"}).collect()
+    mixed = Counter(r["source"] for r in mixed_documents(df).collect())
+    assert {s: n for s, n in taken if n} == dict(mixed) and any(n % k for (s, n), k in ((x, {"s": 40, "t": 7, "u": 1}[x[0]]) for x in taken))
+
+
 def test_heavier_documents_are_taken_more_often(spark):
     rows = [(i, "word " * 10, "s", 4.0 if i < 200 else 1.0) for i in range(1000)] + [(5000, "word " * 10000, "t", 1.0)]
     found = pareto_mix(spark.createDataFrame(rows, DOCS + ", w double"), weight_col="w").toPandas()
