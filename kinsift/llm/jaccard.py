@@ -2,15 +2,18 @@
 
 1. Documents with the same shingle set are one class; classes, not copies, are joined.
 2. Each partition sends its classes' shingles, sorted and delta-coded, to the owners of their ranges;
-   owners count in how many classes a shingle is and send on only those in two or more. A class whose
-   shared shingles are too few for any link drops out here, and for all others this exchange brings
-   everything a comparison needs: sizes and shared shingles.
-3. In order of rising frequency a class's prefix is as long as it must be for two linked classes to share
-   a shingle of it. Classes that share prefix shingles, directly or through others, make a cluster.
-4. Within a cluster, in blocks where it is large, each class lengthens its prefix by the number of
-   candidates that it has to expect, and as many more shingles must then be shared before a pair is
-   compared exactly. Pairs already connected are skipped; a block gives back a star for each of its
-   components, so rows grow with classes, not with pairs.
+   owners count in how many classes a shingle is and send on only those in two or more, by class. What is
+   frequent already within a partition goes straight to its classes and counts as the most frequent of all,
+   everywhere, so no owner holds all classes of a common shingle. A class whose shared shingles are too few
+   for any link drops out here.
+3. A class's shared shingles are ordered from rare to frequent. Level l's prefix is as long as it must be for
+   two linked classes to share l shingles of it. Each class takes the level that its estimated candidates,
+   the frequencies of its prefix shingles, ask for.
+4. Seeds: classes with equal smallest, largest or smallest rehashed shingle meet in blocks of bounded size and
+   are compared exactly; what is linked there is one component. This only spares work in the join.
+5. The join: classes of different components meet at each prefix shingle that they share. A pair is counted at
+   the lower of the two levels, becomes a candidate with as many shared prefix shingles as that level says,
+   and is then compared exactly. Lists of frequent prefix shingles are split into salted blocks.
 """
 
 from __future__ import annotations
@@ -23,13 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsift.llm.common import give_back, join_by_hot_key, materialize, sized_join, small_batches, unique_columns
-from kinsift.llm.shingles import batch_sets, set_hash
+from kinsift.llm.shingles import batch_sets, name_bytes, set_name
 from kinsift.operators.components import connected_components
 
 OWNER_SHINGLES = 1_500_000
 FLUSH_SHINGLES = 1_000_000
+#: Classes of a flush with a shingle from which on it is frequent.
+FREQUENT = 64
+MOST = np.iinfo(np.int32).max
+#: Hashes have so many bits more than the number of all shingles: a pair of classes with 1,000 shingles each
+#: is then miscounted with odds of one in 16 times that number, at most.
+SPARE_BITS = 24
+#: Seeds are compared, and lists of the join met, in blocks of at most so many classes, and shingles.
 BLOCK_CLASSES = 1024
 BLOCK_SHINGLES = 1_500_000
+LIST_CLASSES = 4096
 LEVELS = (1, 2, 4, 8)
 
 
@@ -41,62 +52,97 @@ def least_overlap(n, percent: int):
 def _sizes(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(len(s), set_hash(s)) for s in batch_sets(batch.column(1), words)]
+            sets = [(len(s), name_bytes(set_name(s))) for s in batch_sets(batch.column(1), words)]
             n, names = ([x[i] for x in sets] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64())], ["id", "n", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary())], ["id", "n", "class"])
         give_back()
 
     return run
 
 
-MESSAGE = "owner int, tokens binary, refs binary, classes binary, sizes binary"
-
-
 def _planes(values: np.ndarray) -> bytes:
     """Bytes of 64-bit integers, the lowest of all first: the high ones of small numbers are runs of zeros."""
-    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def _send(words: int, owners: int):
-    starts = np.array([(j << 64) // owners for j in range(owners)], np.uint64)
+def _name_planes(names: np.ndarray) -> bytes:
+    return _planes(names[:, 0]) + _planes(names[:, 1])
+
+
+def _from_name_planes(data: bytes) -> np.ndarray:
+    half = len(data) // 2
+    return np.stack([_from_planes(data[:half]), _from_planes(data[half:])], 1)
+
+
+#: To an owner: a message of tokens with the places of their classes, or entries that go straight on to a bucket, a class each.
+MESSAGE = "owner int, direct boolean, tokens binary, refs binary, classes binary, sizes binary, frequent binary"
+_MESSAGE_TYPES = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
+_MESSAGE_NAMES = [x.split()[0] for x in MESSAGE.split(", ")]
+
+
+def _buckets_of(names: np.ndarray, buckets: int) -> np.ndarray:
+    return (names[:, 0] >> np.uint64(3)) % np.uint64(buckets)
+
+
+def _flush(names: list[tuple[int, int]], sets: list[np.ndarray], bits: int, starts: np.ndarray) -> pa.RecordBatch:
+    owners = len(starts)
+    sizes, names = np.array([len(s) for s in sets], np.int32), np.array(names, np.uint64).reshape(-1, 2)
+    tokens, refs = np.concatenate(sets) >> np.uint64(64 - bits), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
+    order = np.argsort(tokens)
+    tokens, refs = tokens[order], refs[order]
+    edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    times = np.diff(np.append(edge, len(tokens)))
+    often = np.repeat(times >= FREQUENT, times)
+    frequent = tokens[edge[times >= FREQUENT]]
+    out: list[list] = [[] for _ in _MESSAGE_NAMES]
+
+    def put(*row) -> None:
+        for column, value in zip(out, row, strict=True):
+            column.append(value)
+
+    own_tokens, own_refs = tokens[often], refs[often]
+    bucket = _buckets_of(names, owners)[own_refs]
+    by = np.argsort(bucket, kind="stable")
+    own_tokens, own_refs, bucket = own_tokens[by], own_refs[by], bucket[by]
+    cuts = np.append(np.searchsorted(bucket, np.arange(owners, dtype=np.uint64)), len(bucket))
+    for j in np.flatnonzero(np.diff(cuts)):
+        a, b = cuts[j], cuts[j + 1]
+        put(int(j), True, _planes(own_tokens[a:b]), np.full(b - a, MOST, np.int32).tobytes(), _name_planes(names[own_refs[a:b]]), sizes[own_refs[a:b]].tobytes(), None)
+    tokens, refs = tokens[~often], refs[~often]
+    cuts, hot_cuts = (np.append(np.searchsorted(x, starts), len(x)) for x in (tokens, frequent))
+    for j in range(owners):
+        part, own, hot = tokens[cuts[j] : cuts[j + 1]], refs[cuts[j] : cuts[j + 1]], frequent[hot_cuts[j] : hot_cuts[j + 1]]
+        if not len(part) and not len(hot):
+            continue
+        present, local = np.unique(own, return_inverse=True)
+        small = local.astype(np.uint16 if len(present) <= 65536 else np.uint32)
+        put(j, False, _planes(np.diff(part, prepend=starts[j])), small.tobytes(), names[present].tobytes(), sizes[present].tobytes(), hot.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _MESSAGE_TYPES, strict=True)], _MESSAGE_NAMES)
 
-    def flush(names: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        sizes = np.array([len(s) for s in sets])
-        tokens, refs = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
-        order = np.argsort(tokens)
-        tokens, refs = tokens[order], refs[order]
-        cuts = np.append(np.searchsorted(tokens, starts), len(tokens))
-        out: list[list] = [[], [], [], [], []]
-        for j in range(owners):
-            part, own = tokens[cuts[j] : cuts[j + 1]], refs[cuts[j] : cuts[j + 1]]
-            if not len(part):
-                continue
-            present, local = np.unique(own, return_inverse=True)
-            small = local.astype(np.uint16 if len(present) <= 65536 else np.uint32)
-            for column, value in zip(out, (j, _planes(np.diff(part, prepend=starts[j])), small.tobytes(), np.array(names, np.int64)[present].tobytes(), sizes[present].astype(np.int32).tobytes()), strict=True):
-                column.append(value)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["owner", "tokens", "refs", "classes", "sizes"])
+
+def _send(words: int, owners: int, bits: int):
+    starts = np.array([(j << bits) // owners for j in range(owners)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         names, sets, held = [], [], 0
         for batch in batches:
             for s in batch_sets(batch.column(0), words):
-                if not len(s) or (name := set_hash(s)) in seen:  # a partition sends a class once
+                if not len(s) or (name := set_name(s)) in seen:  # a partition sends a class once
                     continue
                 seen.add(name)
                 names.append(name)
                 sets.append(s)
                 held += len(s)
                 if held >= FLUSH_SHINGLES:
-                    yield flush(names, sets)
+                    yield _flush(names, sets, bits, starts)
                     names, sets, held = [], [], 0
         if sets:
-            yield flush(names, sets)
+            yield _flush(names, sets, bits, starts)
         del names, sets
         give_back()
 
@@ -104,88 +150,112 @@ def _send(words: int, owners: int):
 
 
 SHARED = "bucket int, class binary, size binary, token binary, df binary"
+_SHARED_TYPES = [pa.int32(), *[pa.binary()] * 4]
+
+
+def _first_of(names: np.ndarray) -> np.ndarray:
+    """Which of many names are the first that say the same."""
+    order = np.lexsort((names[:, 1], names[:, 0]))
+    new = np.zeros(len(names), bool)
+    if len(names):
+        new[order[np.concatenate([[True], (names[order[1:]] != names[order[:-1]]).any(axis=1)])]] = True
+    return new
 
 
 def _count(buckets: int):
     def run(messages: pa.Table) -> pa.Table:
         """Of one owner: entries (class, size, token, df) of the tokens that two classes have, dealt to buckets by class."""
-        tokens, classes, sizes = [], [], []
-        known = np.zeros(0, np.int64)
-        owners = len(messages)
-        for i in range(owners):
-            m = {name: messages.column(name)[i].as_py() for name in ("owner", "tokens", "refs", "classes", "sizes")}
-            names, size = np.frombuffer(m["classes"], np.int64), np.frombuffer(m["sizes"], np.int32)
-            own = np.cumsum(_from_planes(m["tokens"]), dtype=np.uint64)
-            refs = np.frombuffer(m["refs"], np.uint16 if len(names) <= 65536 else np.uint32)
-            new = ~np.isin(names, known)  # a class that another partition has sent too
-            use = new[refs]
-            tokens.append(own[use])
-            classes.append(names[refs[use]])
-            sizes.append(size[refs[use]])
-            known = np.concatenate([known, names[new]])
-        token, name, size = np.concatenate(tokens), np.concatenate(classes), np.concatenate(sizes)
+        tokens, refs, names, sizes, frequent, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], 0
+        out: list[list] = [[], [], [], [], []]
+
+        def put(*row) -> None:
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+
+        for i in range(len(messages)):
+            m = {name: messages.column(name)[i].as_py() for name in _MESSAGE_NAMES}
+            if m["direct"]:
+                put(m["owner"], m["classes"], m["sizes"], m["tokens"], m["refs"])
+                continue
+            own = np.frombuffer(m["classes"], np.uint64).reshape(-1, 2)
+            tokens.append(np.cumsum(_from_planes(m["tokens"]), dtype=np.uint64))
+            refs.append(np.frombuffer(m["refs"], np.uint16 if len(own) <= 65536 else np.uint32).astype(np.int64) + seen)
+            names.append(own)
+            sizes.append(np.frombuffer(m["sizes"], np.int32))
+            frequent.append(np.frombuffer(m["frequent"], np.uint64))
+            seen += len(own)
+        token, ref, name, size = (np.concatenate(x) for x in (tokens, refs, names, sizes))
+        use = _first_of(name)[ref]  # a class that another partition has sent too counts once
+        token, ref = token[use], ref[use]
         order = np.argsort(token)
-        token = token[order]
+        token, ref = token[order], ref[order]
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        df = np.repeat(np.diff(np.append(edge, len(token))), np.diff(np.append(edge, len(token))))
+        times = np.diff(np.append(edge, len(token)))
+        times[np.isin(token[edge], np.unique(np.concatenate(frequent)))] = MOST
+        df = np.repeat(times, np.diff(np.append(edge, len(token))))
         shared = df > 1
-        token, order, df = token[shared], order[shared], df[shared].astype(np.int32)
-        name, size = name[order], size[order]
-        bucket = (name.view(np.uint64) >> np.uint64(3)) % np.uint64(buckets)
-        by = np.lexsort((name, bucket))
-        token, name, size, df, bucket = token[by], name[by], size[by], df[by], bucket[by]
+        token, ref, df = token[shared], ref[shared], df[shared].astype(np.int32)
+        bucket = _buckets_of(name, buckets)[ref]
+        by = np.lexsort((ref, bucket))
+        token, ref, df, bucket = token[by], ref[by], df[by], bucket[by]
         cuts = np.append(np.searchsorted(bucket, np.arange(buckets, dtype=np.uint64)), len(bucket))
-        full = [j for j in range(buckets) if cuts[j + 1] > cuts[j]]
-        cut = lambda a, j: a[cuts[j] : cuts[j + 1]]
-        out = pa.table({
-            "bucket": pa.array(full, pa.int32()), "class": pa.array([_planes(cut(name, j)) for j in full], pa.binary()), "size": pa.array([cut(size, j).tobytes() for j in full], pa.binary()),
-            "token": pa.array([_planes(cut(token, j)) for j in full], pa.binary()), "df": pa.array([cut(df, j).tobytes() for j in full], pa.binary()),
-        })
-        del token, name, size, df, bucket, order, by, shared, edge, tokens, classes, sizes
+        for j in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[j], cuts[j + 1]
+            put(int(j), _name_planes(name[ref[a:b]]), size[ref[a:b]].tobytes(), _planes(token[a:b]), df[a:b].tobytes())
+        del token, ref, name, size, df, bucket, order, by, shared, edge, tokens, refs, names, sizes
         give_back()
-        return out
+        return pa.table([pa.array(c, t) for c, t in zip(out, _SHARED_TYPES, strict=True)], names=[x.split()[0] for x in SHARED.split(", ")])
 
     return run
 
 
-SUSPECT = "class bigint, n int, tokens binary, prefix int"
+#: no: a number of the class in this join; low, high, other: the smallest and largest token, and the smallest after another hash.
+SUSPECT = "no bigint, class binary, n int, tokens binary, prefix int, level int, low bigint, high bigint, other bigint"
+
+
+def level_of(cost: int, need: int) -> int:
+    """The level of a class that has to expect so many candidates at level 1."""
+    level = 1
+    for step in LEVELS[1:]:
+        if cost > 4 * step * step and step <= need:
+            level = step
+    return level
 
 
 def _suspects(percent: int):
     def run(parts: pa.Table) -> pa.Table:
         """Of one bucket: the classes that can have a link, with their shared tokens from rare to frequent."""
-        blobs = {c: parts.column(c).to_pylist() for c in ("class", "size", "token", "df")}
-        name = np.concatenate([_from_planes(b) for b in blobs["class"]]).view(np.int64)
+        blobs = {c: parts.column(c).to_pylist() for c in ("bucket", "class", "size", "token", "df")}
+        name = np.concatenate([_from_name_planes(b) for b in blobs["class"]])
         token = np.concatenate([_from_planes(b) for b in blobs["token"]])
         size = np.concatenate([np.frombuffer(b, np.int32) for b in blobs["size"]])
         df = np.concatenate([np.frombuffer(b, np.int32) for b in blobs["df"]])
-        classes, place, shared = np.unique(name, return_inverse=True, return_counts=True)
-        of = np.zeros(len(classes), np.int64)
-        of[place] = size
-        able = shared >= least_overlap(of, percent)
-        use = able[place]
-        name, token, df = name[use], token[use], df[use]
-        order = np.lexsort((token, df, name))
-        name, token = name[order], token[order]
-        cuts = np.append(np.searchsorted(name, classes[able]), len(name))
-        n, m = of[able], shared[able]
-        return pa.table({
-            "class": pa.array(classes[able]), "n": pa.array(n.astype(np.int32)), "tokens": pa.array([token[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+        order = np.lexsort((token, df, name[:, 1], name[:, 0]))
+        name, token, size, df = name[order], token[order], size[order], df[order]
+        other = np.concatenate([[True], (name[1:] != name[:-1]).any(axis=1)])
+        # a frequent token may come straight from one partition's copy of a class and through its owner from another's
+        use = other | np.concatenate([[True], token[1:] != token[:-1]])
+        name, token, size, df, other = name[use], token[use], size[use], df[use], other[use]
+        cuts = np.append(np.flatnonzero(other), len(token))
+        out: list[list] = [[] for _ in SUSPECT.split(", ")]
+        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+            n, own = int(size[a]), token[a:b]
+            need = int(least_overlap(n, percent))
+            if b - a < need:
+                continue
             # tokens of no other class come first in the order and need not be sent
-            "prefix": pa.array((m - least_overlap(n, percent) + 1).astype(np.int32)),
-        })
+            prefix = b - a - need + 1
+            cost = int((df[a : a + prefix].astype(np.int64) - 1).sum())
+            rehashed = own * np.uint64(0x9E3779B97F4A7C15)
+            row = ((blobs["bucket"][0] << 32) + i, name_bytes((int(name[a, 0]), int(name[a, 1]))), n, own.tobytes(), prefix, level_of(cost, need), *(int(np.array(x, np.uint64).view(np.int64)) for x in (own.min(), own.max(), rehashed.min())))
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+        types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+        return pa.table([pa.array(c, types[x.split()[1]]) for c, x in zip(out, SUSPECT.split(", "), strict=True)], names=[x.split()[0] for x in SUSPECT.split(", ")])
 
     return run
 
 
-def _prefix_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = [np.frombuffer(t, np.int64)[:p] for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        if lists:
-            names = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(x) for x in lists])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(names)], ["token", "class"])
-
-
 class _Flat:
     """Lists of small integers, one after another."""
 
@@ -205,101 +275,141 @@ class _Flat:
         return sums
 
 
-def link_block(classes: np.ndarray, n: np.ndarray, tokens: list[np.ndarray], prefix: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between left and right classes of a block, as stars of the block's components."""
+def link_block(n: np.ndarray, tokens: list[np.ndarray], percent: int) -> np.ndarray:
+    """The components of a block of classes, each named by the place of its first one; pairs already connected are not compared."""
+    root = np.arange(len(n))
+    if len(n) == 2:
+        both = len(np.intersect1d(tokens[0], tokens[1], assume_unique=True))
+        root[1] = 0 if 100 * both >= percent * (n[0] + n[1] - both) else 1
+        return root
     _, ids = np.unique(np.concatenate(tokens), return_inverse=True)
     cuts = np.cumsum([0, *(len(t) for t in tokens)])
-    lists = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    whole, marks = _Flat(lists), np.zeros(int(ids.max()) + 1, np.uint8)
-    need = least_overlap(n, percent)
-    heads = {1: _Flat([x[:p] for x, p in zip(lists, prefix, strict=True)])}
-    # candidates to expect of a class: how often its prefix tokens are in prefixes
-    frequency = np.bincount(heads[1].values[:-1], minlength=len(marks))
-    level = np.ones(len(lists), np.int64)
-    for i in range(len(lists)):
-        cost = int(frequency[heads[1].of(i)].sum() - len(heads[1].of(i)))
-        for step in LEVELS[1:]:
-            if cost > 4 * step * step and step <= need[i]:
-                level[i] = step
-    for step in LEVELS[1:]:
-        if (level >= step).any():
-            heads[step] = _Flat([x[: p + step - 1] for x, p in zip(lists, prefix, strict=True)])
-    root = np.arange(len(lists))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    flat_root = root.copy()
-    for i in np.flatnonzero(left):
-        may = right & (flat_root != flat_root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+    whole, marks = _Flat([ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]), np.zeros(int(ids.max()) + 1, np.uint8)
+    later = np.arange(len(n))
+    for i in range(len(n)):
+        may = (later > i) & (root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
         if not may.any():
             continue
-        shared = np.zeros(len(lists), bool)
-        for step, head in heads.items():
-            here = may & (np.minimum(level, level[i]) == step)
-            if here.any():
-                marks[head.of(i)] = 1
-                shared |= here & (head.counts(marks) >= step)
-                marks[head.of(i)] = 0
-        shared[i] = False
-        if not shared.any():
-            continue
-        own = whole.of(i)
-        marks[own] = 1
-        if shared.sum() * 8 > len(lists):
+        marks[whole.of(i)] = 1
+        if may.sum() * 8 > len(n):
             both = whole.counts(marks)
         else:
-            both = np.zeros(len(lists), np.int64)
-            for j in np.flatnonzero(shared):
+            both = np.zeros(len(n), np.int64)
+            for j in np.flatnonzero(may):
                 both[j] = marks[whole.of(j)].sum(dtype=np.int64)
-        marks[own] = 0
-        linked = np.flatnonzero(shared & (100 * both >= percent * (n + n[i] - both)))
-        if len(linked):
-            for j in linked:
-                a, b = find(int(i)), find(int(j))
-                root[max(a, b)] = min(a, b)
-            flat_root = np.array([find(j) for j in range(len(lists))]) if len(lists) < 64 else _compressed(root)
-    final = [find(j) for j in range(len(lists))]
-    return [(int(classes[r]), int(classes[j])) for j, r in enumerate(final) if j != r]
-
-
-def _compressed(root: np.ndarray) -> np.ndarray:
-    while True:
-        above = root[root]
-        if (above == root).all():
-            return above
-        root[:] = above
-
-
-def _link_task(percent: int):
+        marks[whole.of(i)] = 0
+        linked = may & (100 * both >= percent * (n + n[i] - both))
+        if linked.any():
+            met = np.unique(root[np.append(np.flatnonzero(linked), i)])
+            root[np.isin(root, met)] = met[0]
+    return root
+
+
+def _seed_links(percent: int):
     def run(part: pa.Table) -> pa.Table:
-        order = np.argsort(part.column("cluster").to_numpy(), kind="stable")
-        table = part.take(pa.array(order))
-        cluster, n = table.column("cluster").to_numpy(), table.column("n").to_numpy().astype(np.int64)
-        classes, prefix = table.column("class").to_numpy(), table.column("prefix").to_numpy()
-        side = table.column("side").to_numpy()
-        tokens = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
-        cuts = np.flatnonzero(np.concatenate([[True], cluster[1:] != cluster[:-1], [True]]))
-        links: list[tuple[int, int]] = []
+        part = part.take(pa.array(np.lexsort((part.column("no").to_numpy(), part.column("key").to_numpy(), part.column("side").to_numpy()))))
+        side, key, no = (part.column(c).to_numpy() for c in ("side", "key", "no"))
+        n = part.column("n").to_numpy().astype(np.int64)
+        tokens = [np.frombuffer(t, np.uint64) for t in part.column("tokens").to_pylist()]
+        cuts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (side[1:] != side[:-1]), [True]]))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            s = side[a:b]
-            links += link_block(classes[a:b], n[a:b], tokens[a:b], prefix[a:b], s != 2, s != 1, percent)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+            if b - a > 1:
+                root = link_block(n[a:b], tokens[a:b], percent)
+                linked = np.flatnonzero(root != np.arange(b - a))
+                left.append(no[a:b][root[linked]])
+                right.append(no[a:b][linked])
+        return pa.table({"a": pa.array(np.concatenate(left)), "b": pa.array(np.concatenate(right))})
 
     return run
 
 
+def _seeds(suspects: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between classes that meet at a seed key, as stars."""
+    least = int(suspects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(c).alias("key")) for i, c in enumerate(("low", "high", "other"))))).alias("k")
+    sizes = suspects.select(keys, "n").groupBy("k.side", "k.key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("pieces"))
+    large = materialize(sizes.filter("pieces > 1"), "seed_sizes")
+    met = sized_join(suspects.select("no", "n", "tokens", keys).select("no", "n", "tokens", "k.side", "k.key"), large, ["side", "key"], "left")
+    # small groups share tasks; of a large one each block is a task
+    dealt = met.select(
+        F.when(F.col("pieces").isNull(), F.pmod(F.hash("key"), F.lit(4 * least)).cast("bigint")).otherwise(F.col("key")).alias("task"),
+        F.when(F.col("pieces").isNull(), -1).otherwise(F.pmod(F.xxhash64("no", "side"), F.col("pieces"))).cast("int").alias("block"),
+        "side", "key", "no", "n", "tokens",
+    )
+    return dealt.groupBy("task", "block").applyInArrow(_seed_links(percent), "a bigint, b bigint")
+
+
+ENTRY = "token bigint, no bigint, n int, component bigint, level int, least int"
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The prefix tokens of classes at their levels, with the least level whose prefix has them."""
+    for batch in batches:
+        lists = [np.frombuffer(t, np.int64) for t in batch.column("tokens").to_pylist()]
+        if not lists:
+            continue
+        lengths = np.array([len(x) for x in lists])
+        prefix = np.repeat(batch.column("prefix").to_numpy(), lengths)
+        place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        columns = {c: np.repeat(batch.column(c).to_numpy(), lengths) for c in ("no", "n", "component", "level")}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(lists)), *(pa.array(columns[c]) for c in ("no", "n", "component", "level")), pa.array(np.maximum(1, place - prefix + 2).astype(np.int32))], [x.split()[0] for x in ENTRY.split(", ")]
+        )
+
+
+def _verify(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("tokens_a", "tokens_b", "n_a", "n_b")), strict=True):
+                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                linked.append(100 * both >= percent * (n + m - both))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return run
+
+
+def candidate_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of classes of different components that share as many prefix tokens as the lower of their levels says.
+
+    A list is split into blocks of LIST_CLASSES: one side is dealt to them, the other is sent to each.
+    """
+    lists = entries.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("held")).filter("first < last")
+    lists = materialize(lists.select("token", "held"), "lists")
+    met = materialize(join_by_hot_key(entries, lists, "token", "held", max(1, entries.count())).filter("held is not null"), "met")
+    blocks = F.ceil(F.col("held") / LIST_CLASSES).cast("int")
+    left = met.select("token", F.pmod(F.xxhash64("no"), blocks).cast("int").alias("block"), *(F.col(c).alias(f"{c}_a") for c in ("no", "n", "component", "level", "least")))
+    right = met.select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("no", "n", "component", "level", "least")))
+    pairs = left.join(right, ["token", "block"]).filter("no_a < no_b and component_a <> component_b")
+    pairs = pairs.filter(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")).withColumn("level", F.least("level_a", "level_b")).filter("least_a <= level and least_b <= level")
+    counted = pairs.groupBy(F.col("no_a").alias("a"), F.col("no_b").alias("b"), "level").agg(F.count(F.lit(1)).alias("shared"))
+    return counted.filter("shared >= level").select("a", "b")
+
+
+def _links(suspects: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of all classes with a link: the seeds' links, and those of the join."""
+    seeds = materialize(_seeds(suspects, percent), "seeds")
+    known = materialize(connected_components(seeds).withColumnRenamed("node", "no"), "seeded")
+    head = F.expr("substring(tokens, 1, 8 * (prefix + level - 1))").alias("tokens")
+    labelled = suspects.select("no", "n", head, "prefix", "level").join(known, "no", "left").withColumn("component", F.coalesce("component", "no"))
+    entries = materialize(labelled.mapInArrow(_entries, ENTRY), "entries")
+    pairs = materialize(candidate_pairs(entries, percent), "candidates")
+    sides = [suspects.select(F.col("no").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"]
+    found = materialize(pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_verify(percent), "a bigint, b bigint"), "links")
+    if not found.limit(1).count():
+        return known
+    return connected_components(known.select(F.col("component").alias("a"), F.col("no").alias("b")).unionByName(found)).withColumnRenamed("node", "no")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
     Two documents link when 100 * |intersection| >= percent * |union| of their sets of distinct shingles of
     `words` words, A-Z lowered. A text of fewer words has one shingle, its whole sequence; a null, empty or
     blank text has none and links with nothing. Rows that repeat a text link with each other. Null ids are
-    above all others. Extra columns play no part; an empty table gives no rows. Shingles and sets are told
-    apart by 64-bit hashes.
+    above all others. Extra columns play no part; an empty table gives no rows. Sets are told apart by
+    128-bit names, the shingles of a pair by hashes of SPARE_BITS more bits than all shingles need, 64 at most.
     """
     return _components(docs, id_col, text_col, words, percent).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
@@ -309,38 +419,23 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     small_batches(docs)
     source = unique_columns(docs, [id_col, text_col]).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
-    narrow = materialize(source.mapInArrow(_sizes(words), f"id {id_type}, n bigint, class bigint"), "sizes")
+    narrow = materialize(source.mapInArrow(_sizes(words), f"id {id_type}, n bigint, class binary"), "sizes")
     total, shingles = narrow.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     owners = max(least, -(-shingles // OWNER_SHINGLES))
-    messages = source.select("text").mapInArrow(_send(words, owners), MESSAGE)
-    shared = messages.groupBy("owner").applyInArrow(_count(owners), SHARED)
+    bits = min(64, max(1, shingles).bit_length() + SPARE_BITS)
+    shared = source.select("text").mapInArrow(_send(words, owners, bits), MESSAGE).groupBy("owner").applyInArrow(_count(owners), SHARED)
     suspects = materialize(shared.groupBy("bucket").applyInArrow(_suspects(percent), SUSPECT), "suspects")
-    entries = materialize(suspects.select("class", "tokens", "prefix").mapInArrow(_prefix_entries, "token bigint, class bigint"), "prefixes")
-    n_entries = entries.count()
-    first = materialize(entries.groupBy("token").agg(F.min("class").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "tokens")
-    near = join_by_hot_key(entries, first, "token", "n", max(1, n_entries)).filter("first is not null").select(F.col("class").alias("a"), F.col("first").alias("b"))
-    clusters = connected_components(near).withColumnRenamed("node", "class").withColumnRenamed("component", "cluster")
-    members = materialize(clusters.join(suspects, "class"), "members")
-    counted = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("tokens") / 8).alias("held")).filter("members > 1")
-    pieces = F.greatest(F.ceil(F.col("members") / BLOCK_CLASSES), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
-    counted = counted.withColumn("pieces", pieces)
-    dealt = join_by_hot_key(members, counted, "cluster", "members", max(1, total)).filter("pieces is not null")
-    # small clusters share tasks; of a large one every pair of blocks is a task
-    few = dealt.filter("pieces = 1").select(F.pmod(F.hash("cluster"), F.lit(4 * least)).alias("i"), F.lit(-1).alias("j"), F.lit(0).cast("bigint").alias("task"), "cluster", "class", "n", "tokens", "prefix", F.lit(0).alias("side"))
-    many = dealt.filter("pieces > 1").withColumn("block", F.pmod(F.xxhash64("class"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    many = many.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("cluster").alias("task"), "cluster", "class", "n", "tokens", "prefix", F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"))
-    links = materialize(few.unionByName(many).groupBy("task", "i", "j").applyInArrow(_link_task(percent), "a bigint, b bigint"), "links")
-    roots = connected_components(links)
+    roots = materialize(_links(suspects, percent).join(suspects.select("no", "class"), "no").select("class", "component"), "roots")
     classes = materialize(narrow.filter("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")), "classes")
-    joined = roots.withColumnRenamed("node", "class").join(classes, "class")
+    joined = roots.join(classes, "class")
     least_row = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "class"))
     smallest = joined.groupBy("component").agg(least_row.alias("s")).select("component", F.col("s.first").alias("smallest"), F.col("s.class").alias("keeper"))
     joined = materialize(sized_join(joined.select("class", "component"), materialize(smallest, "smallest"), "component", "inner").select("class", "smallest", "keeper"), "linked")
     classes = sized_join(classes, joined, "class", "left").select("class", "members", F.coalesce("smallest", "first").alias("component_id"), F.coalesce("keeper", "class").alias("keeper"))
     worded = narrow.filter("n > 0")
     found = join_by_hot_key(worded, materialize(classes, "named"), "class", "members", max(1, total)).select("id", "n", "component_id", "class", "keeper")
-    wordless = narrow.filter("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(None).cast("bigint").alias("class"), F.lit(None).cast("bigint").alias("keeper"))
+    wordless = narrow.filter("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(None).cast("binary").alias("class"), F.lit(None).cast("binary").alias("keeper"))
     return found.unionByName(wordless)
 
 
@@ -349,12 +444,12 @@ def _with_class(docs: DataFrame, text_col: str, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [set_hash(s) if len(s) else None for s in batch_sets(batch.column(names.index(text_col)), words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.int64())], [*names, "_class"])
+            sets = [name_bytes(set_name(s)) if len(s) else None for s in batch_sets(batch.column(names.index(text_col)), words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.binary())], [*names, "_class"])
         give_back()
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{types}, _class bigint")
+    return docs.mapInArrow(run, f"{types}, _class binary")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Word shingles of whole texts as 64-bit hashes, computed on the UTF-8 bytes of a batch at once."""
+"""Word shingles of whole texts as 64-bit hashes, computed on the UTF-8 bytes of a batch at once, of a long text in pieces."""
 
 from __future__ import annotations
 
@@ -52,9 +52,36 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mixed(hashes + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> Iterator[np.ndarray]:
-    """For each text its sorted distinct shingles; a text of fewer words has its whole sequence as its only one."""
-    hashes, at = word_hashes(data, offsets)
+def _long_text_words(data: np.ndarray, piece: int) -> np.ndarray:
+    """The hashes of one long text's words, read in pieces that end at a blank; a word longer than a piece is summed up over pieces."""
+    found, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + piece)
+        if end < len(data):
+            blanks = np.flatnonzero(_BLANK[data[at:end]])
+            if not len(blanks):
+                total, length, power, start = np.uint64(0), 0, np.uint64(1), at
+                while start < len(data):
+                    part = data[start : start + piece]
+                    stop = np.flatnonzero(_BLANK[part])
+                    part = _LOWER[part[: stop[0]] if len(stop) else part]
+                    powers = _powers(_BASE, len(part) + 1)
+                    with np.errstate(over="ignore"):
+                        total += (_BYTE_VALUES[part] * powers[:-1]).sum(dtype=np.uint64) * power
+                        power *= powers[-1]
+                    length, start = length + len(part), start + len(part)
+                    if len(stop):
+                        break
+                found.append(mixed(np.array([total], np.uint64) + np.uint64(length)))
+                at = start
+                continue
+            end = at + int(blanks[-1]) + 1
+        found.append(word_hashes(data[at:end], np.array([0, end - at]))[0])
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def _sets_of(hashes: np.ndarray, at: np.ndarray, words: int) -> Iterator[np.ndarray]:
     n = max(0, len(hashes) - words + 1)
     rolled = np.zeros(n, np.uint64)
     for j in range(words):
@@ -71,12 +98,30 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> Itera
             yield np.zeros(0, np.uint64)
 
 
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> Iterator[np.ndarray]:
+    """For each text its sorted distinct shingles; a text of fewer words has its whole sequence as its only one."""
+    yield from _sets_of(*word_hashes(data, offsets), words)
+
+
 def batch_sets(column: pa.Array, words: int = 5, max_bytes: int = 512 << 10) -> Iterator[np.ndarray]:
+    """The sets of a column's texts, in order; what is held beside the text is bounded by max_bytes and the text's words."""
     for _, data, offsets in text_slices(column, max_bytes):
-        yield from shingle_sets(data, offsets, words)
+        if len(data) > max_bytes:
+            hashes = _long_text_words(data, max_bytes)
+            yield from _sets_of(hashes, np.array([0, len(hashes)]), words)
+        else:
+            yield from shingle_sets(data, offsets, words)
+
+
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def set_name(shingles: np.ndarray) -> tuple[int, int]:
+    """A 128-bit name of a set, as two unsigned numbers, the same wherever the set is met."""
+    a = (int(mixed(shingles).sum(dtype=np.uint64)) + len(shingles) * int(_BASE)) & 0xFFFFFFFFFFFFFFFF
+    b = (int(mixed(shingles * _SECOND + _BASE).sum(dtype=np.uint64)) + len(shingles)) & 0xFFFFFFFFFFFFFFFF
+    return a, b
 
 
-def set_hash(shingles: np.ndarray) -> int:
-    """A signed 64-bit name of a set, the same wherever the set is met."""
-    h = (int(mixed(shingles).sum(dtype=np.uint64)) + len(shingles) * int(_BASE)) & 0xFFFFFFFFFFFFFFFF
-    return h - (1 << 64) if h >> 63 else h
+def name_bytes(name: tuple[int, int]) -> bytes:
+    return name[0].to_bytes(8, "big") + name[1].to_bytes(8, "big")

@@ -9,8 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kinsift.llm.exact_dedup import drop_exact_duplicates, exact_duplicates, golomb_decode, golomb_encode
-from kinsift.llm.jaccard import drop_near_duplicates, jaccard_components, least_overlap, link_block
-from kinsift.llm.shingles import set_hash, shingle_sets
+from kinsift.llm.jaccard import drop_near_duplicates, jaccard_components, level_of, link_block
+from kinsift.llm.shingles import batch_sets, set_name, shingle_sets
 
 DOCS = "doc_id long, text string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -105,11 +105,9 @@ def test_block_kernel_equals_brute_force(seed):
     r = np.random.default_rng(seed)
     base = r.integers(0, 500, 40)
     sets = [np.unique(np.where(r.random(40) < 0.06, r.integers(0, 500, 40), base)) for _ in range(80)]
-    df = np.bincount(np.concatenate(sets), minlength=500)
-    tokens = [s[np.lexsort((s, df[s]))].astype(np.uint64) for s in sets]
+    tokens = [r.permutation(s).astype(np.uint64) for s in sets]
     n = np.array([len(s) for s in sets])
-    prefix = n - least_overlap(n, 80) + 1
-    links = link_block(np.arange(80), n, tokens, prefix, np.ones(80, bool), np.ones(80, bool), 80)
+    found = link_block(n, tokens, 80)
     root = list(range(80))
 
     def find(i):
@@ -123,10 +121,32 @@ def test_block_kernel_equals_brute_force(seed):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     want = [find(i) for i in range(80)]
-    got = list(range(80))
-    for a, b in links:
-        got[b] = a
-    assert got == want
+    assert found.tolist() == want
+
+
+@pytest.mark.parametrize(("seeds", "frequent"), [(False, 64), (False, 2), (True, 3)])
+def test_join_alone_equals_brute_force(spark, monkeypatch, seeds, frequent):
+    """Without seeds all links come from the multi-match prefixes; low bars send tokens straight and split lists."""
+    from kinsift.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "LIST_CLASSES", 5)
+    if not seeds:
+        monkeypatch.setattr(jaccard, "_seeds", lambda suspects, percent: suspects.selectExpr("no as a", "no as b").limit(0))
+    rows = corpus(21, 90)
+    assert sorted(map(tuple, jaccard_components(spark.createDataFrame(rows, DOCS).repartition(5)).collect())) == brute(rows)
+
+
+def test_levels_rise_with_cost():
+    assert [level_of(c, 100) for c in (0, 16, 17, 65, 257)] == [1, 1, 2, 4, 8] and level_of(10**9, 3) == 2
+
+
+def test_long_texts_are_read_in_pieces():
+    import pyarrow as pa
+
+    text = " ".join(f"Word{i % 977}" for i in range(3000)) + "\n" + "x" * 5000 + " end of it all"
+    whole, pieces = (next(batch_sets(pa.array([text]), max_bytes=m)) for m in (1 << 20, 700))
+    assert (whole == pieces).all() and len(whole) > 900
 
 
 def test_shingles_are_of_words_not_of_places():
@@ -134,7 +154,7 @@ def test_shingles_are_of_words_not_of_places():
     first = next(shingle_sets(np.frombuffer(data, np.uint8), np.array([0, len(data)])))
     data = "\n a B c D e   f ".encode()
     second = next(shingle_sets(np.frombuffer(data, np.uint8), np.array([0, len(data)])))
-    assert len(first) == 2 and set_hash(first) == set_hash(second)
+    assert len(first) == 2 and set_name(first) == set_name(second)
 
 
 def test_near_duplicates_leave_one_a_group(spark):
