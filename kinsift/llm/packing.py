@@ -2,11 +2,11 @@
 
 Each example has three demands: tokens, segments (one a piece) and loss-bearing tokens. A sequence has a
 limit on each. Sequences are filled one at a time: of the pool's examples that fit, the one whose demands
-have the largest dot product with what the sequence has left goes in; when none fits and cutting is
-allowed, the piece that fills the sequence is cut off the largest example.
+have the largest dot product with what the sequence has left goes in, and the pool is filled up again; when
+none fits and cutting is allowed, the piece that fills the sequence is cut off the largest example.
 
-Every partition packs its own examples in one pass, from a pool of bounded size, so nothing is shuffled
-and the number of sequences that can't be filled is one a partition at most.
+Every partition packs its own examples in one pass, from a pool of bounded size, so documents are not
+shuffled and the number of sequences that can't be filled is one a partition at most.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinsift.llm.common import give_back, small_batches, unique_columns
 from kinsift.llm.tokens import byte_bpe
@@ -27,8 +28,10 @@ from kinsift.llm.tokens import byte_bpe
 
 @dataclass(frozen=True)
 class Limits:
+    """Of a sequence; the defaults for segments and loss never bind, as a piece has a token and a token one loss at most."""
+
     tokens: int = 2048
-    segments: int = 256
+    segments: int = 2048
     loss: int = 2048
 
 
@@ -70,7 +73,7 @@ class Pool:
         return piece
 
 
-def fill_sequence(pool: Pool, limits: Limits, cutting: bool) -> list[Piece]:
+def fill_sequence(pool: Pool, limits: Limits, cutting: bool, refill: Callable[[], None] = lambda: None) -> list[Piece]:
     """The pieces of the next sequence; at least one, if the pool has any and each fits an empty sequence."""
     most = np.array([limits.tokens, limits.segments, limits.loss], float)
     left, filled = most.copy(), []
@@ -93,6 +96,7 @@ def fill_sequence(pool: Pool, limits: Limits, cutting: bool) -> list[Piece]:
             break
         filled.append(piece)
         left -= (piece.length, 1, piece.loss)
+        refill()
     return filled
 
 
@@ -119,83 +123,82 @@ Example = tuple[object, np.ndarray, np.ndarray]
 
 def pack_stream(examples: Iterator[Example], limits: Limits, cutting: bool, pool_size: int, first_id: int) -> Iterator[dict]:
     """Rows of pieces for a stream of (key, ids, loss mask)."""
-    pool, held, waiting, number = Pool(), {}, {}, 0
-    sequence = first_id
+    pool, held, waiting, number, ended = Pool(), {}, {}, 0, False
+    sequence, ready = first_id, []
 
-    def rows(filled: list[Piece]) -> Iterator[dict]:
+    def put(filled: list[Piece]) -> None:
         nonlocal sequence
         offset = 0
         for p in filled:
             key, ids = held[p.example]
             part = ids[p.start : p.start + p.length]
-            yield {"key": key, "start": p.start, "length": p.length, "ids_crc32": zlib.crc32(part.astype("<u4").tobytes()), "doc_tokens": len(ids), "loss_tokens": p.loss, "sequence_id": sequence, "offset": offset}
+            ready.append({"key": key, "start": p.start, "length": p.length, "ids_crc32": zlib.crc32(part.astype("<u4").tobytes()), "doc_tokens": len(ids), "loss_tokens": p.loss, "sequence_id": sequence, "offset": offset})
             offset += p.length
             waiting[p.example] -= p.length
             if not waiting[p.example]:
                 del held[p.example], waiting[p.example]
         sequence += 1
 
-    def add(piece: Piece) -> None:
-        pool.add(piece)
-
-    for key, ids, mask in examples:
-        if not len(ids):
-            continue
-        if not cutting and (len(ids) > limits.tokens or mask.sum() > limits.loss):
-            raise ValueError(f"example {key} has {len(ids)} tokens and can't be cut")
-        held[number], waiting[number] = (key, ids), len(ids)
-        whole = Piece(number, 0, len(ids), np.concatenate([[0], np.cumsum(mask)]))
-        while whole.length >= limits.tokens and cutting and whole.length > 0:
-            head, rest = whole.cut(min(limits.tokens, whole.length))
-            if head.loss > limits.loss:
-                break
-            full = rows([head])
-            whole = rest
-            yield from full
-            if not whole.length:
-                break
-        if whole.length:
-            add(whole)
-        number += 1
-        while len(pool.pieces) >= pool_size:
-            yield from rows(fill_sequence(pool, limits, cutting))
+    def refill() -> None:
+        """Fills the pool; what an example has over whole sequences goes into the pool, those are full at once."""
+        nonlocal number, ended
+        while len(pool.pieces) < pool_size and not ended:
+            key, ids, mask = next(examples, (None, None, None))
+            if ids is None:
+                ended = True
+                return
+            if not len(ids):
+                continue
+            if not cutting and (len(ids) > limits.tokens or mask.sum() > limits.loss):
+                raise ValueError(f"example {key} has {len(ids)} tokens and can't be cut")
+            held[number], waiting[number] = (key, ids), len(ids)
+            whole = Piece(number, 0, len(ids), np.concatenate([[0], np.cumsum(mask)]))
+            while cutting and whole.length >= limits.tokens:
+                head, rest = whole.cut(limits.tokens)
+                if head.loss > limits.loss:
+                    break
+                put([head])
+                whole = rest
+            if whole.length:
+                pool.add(whole)
+            number += 1
+
+    refill()
     while pool.pieces:
-        filled = fill_sequence(pool, limits, cutting)
+        filled = fill_sequence(pool, limits, cutting, refill)
         if not pool.pieces and cutting and sum(p.length for p in filled) < limits.tokens:
             for run in powers_of_two(filled):
-                yield from rows(run)
+                put(run)
         else:
-            yield from rows(filled)
+            put(filled)
+        yield from ready
+        ready.clear()
+        refill()
+    yield from ready
 
 
+#: Examples that wait for a sequence.
+POOL = 512
 PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, loss_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def pack_rows(df: DataFrame, key: str, columns: list[str], encode: Callable[[dict], Iterator[tuple[np.ndarray, np.ndarray]]], limits: Limits = Limits(), cutting: bool = True, pool_size: int = 512) -> DataFrame:
-    """Packs what encode(row) makes of each row: (ids, loss mask) pairs. A row a piece comes back.
+def _packed(df: DataFrame, keys: list[str], examples: Callable[[Iterator[pa.RecordBatch]], Iterator[Example]], limits: Limits, cutting: bool, pool_size: int) -> DataFrame:
+    """Packs the examples that a partition's batches make, each with a tuple of keys. A row a piece comes back.
 
     sequence_id is unique over the table: the partition's number in the high bits, a counter in the low
     40. A lost task's rerun reads the same partition in the same order and packs it alike.
     """
-    key_type = df.schema[key].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[key_type]
-    names = ["start", "length", "ids_crc32", "doc_tokens", "loss_tokens", "sequence_id", "offset"]
+    types = [to_arrow_type(df.schema[k].dataType) for k in keys]
+    names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def examples() -> Iterator[Example]:
-            for batch in batches:
-                for first in range(0, batch.num_rows, 100):
-                    for row in batch.slice(first, 100).to_pylist():
-                        for ids, mask in encode(row):
-                            yield row[key], ids, mask
-
         ready: list[dict] = []
 
         def batch() -> pa.RecordBatch:
-            arrays = [pa.array([r["key"] for r in ready], arrow)] + [pa.array([r[n] for r in ready], pa.int64()) for n in names]
-            return pa.RecordBatch.from_arrays(arrays, [key, *names])
+            arrays = [pa.array([r["key"][i] for r in ready], t) for i, t in enumerate(types)] + [pa.array([r[n] for r in ready], pa.int64()) for n in names]
+            return pa.RecordBatch.from_arrays(arrays, [*keys, *names])
 
-        for row in pack_stream(examples(), limits, cutting, pool_size, TaskContext.get().partitionId() << 40):
+        for row in pack_stream(examples(batches), limits, cutting, pool_size, TaskContext.get().partitionId() << 40):
             ready.append(row)
             if len(ready) == 5000:
                 yield batch()
@@ -204,7 +207,13 @@ def pack_rows(df: DataFrame, key: str, columns: list[str], encode: Callable[[dic
         give_back()
 
     small_batches(df)
-    return unique_columns(df, [key, *columns]).mapInArrow(run, f"`{key}` {key_type}, {PIECES}")
+    return df.mapInArrow(run, ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), PIECES]))
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, 100):
+            yield batch.slice(first, 100).to_pylist()
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), end_id: int = 1, paths: tuple[str, str, str] | None = None) -> DataFrame:
@@ -216,35 +225,58 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole sequences. Extra columns play no part; an empty table gives no rows.
     """
 
-    def encode(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids = np.append(byte_bpe(paths).ids(row[text_col]), np.uint32(end_id))
-        mask = np.ones(len(ids), np.int64)
-        mask[0] = 0
-        yield ids, mask
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[Example]:
+        for rows in _small(batches):
+            for row in rows:
+                ids = np.append(byte_bpe(paths).ids(row[text_col]), np.uint32(end_id))
+                mask = np.ones(len(ids), np.int64)
+                mask[0] = 0
+                yield (row[id_col],), ids, mask
 
-    return pack_rows(docs, id_col, [text_col], encode, limits)
+    return _packed(unique_columns(docs, [id_col, text_col]), [id_col], examples, limits, True, POOL)
 
 
 def pack_conversations(turns: DataFrame, limits: Limits = Limits(), learn_from: str = "assistant", end_id: int = 1, paths: tuple[str, str, str] | None = None) -> DataFrame:
-    """Packs instruction data (conv_id, turn, role, text): a conversation is one example, cut only if it breaks a sequence's limits by itself.
-
-    Turns are in the order of turn, then role and text; null roles and texts count as empty. Only the
-    learn_from role's tokens bear loss. A row a piece comes back, keyed by conv_id.
+    """Packs instruction data (conv_id, turn, role, text): a row a piece, conv_id, first_turn, then as pack_documents.
+
+    A conversation is one example, cut only where it breaks a sequence's limits by itself or where a partition
+    ends; first_turn is the turn in which the example begins, start and doc_tokens are the example's own. Turns are
+    in the order of turn, then role and text; null roles and texts count as empty, null ids are one conversation,
+    rows that repeat a turn are turns of their own. Only the learn_from role's tokens bear loss. Extra columns play
+    no part; an empty table gives no rows. Rows are dealt by ranges of all columns, so a very long conversation
+    takes many tasks, and a task holds no more of it than two sequences have.
     """
-    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
-
-    def encode(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, masks = [], []
-        for turn in row["turns"]:
-            part = np.append(byte_bpe(paths).ids(turn["role"] + "\n" + turn["text"]), np.uint32(end_id))
-            ids.append(part)
-            masks.append(np.full(len(part), int(turn["role"] == learn_from), np.int64))
-        ids, mask = np.concatenate(ids), np.concatenate(masks)
-        before, start = np.concatenate([[0], np.cumsum(mask)]), 0
-        while start < len(ids):
-            end = int(np.searchsorted(before, before[start] + limits.loss, side="right")) - 1
-            end = max(start + 1, min(end, start + limits.tokens))
-            yield ids[start:end], mask[start:end]
-            start = end
-
-    return pack_rows(whole, "conv_id", ["turns"], encode, limits, cutting=False)
+    rows = unique_columns(turns, ["conv_id", "turn", "role", "text"]).select("conv_id", "turn", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")))
+    order = ["conv_id", "turn", "role", "text"]
+    # repeated rows are the same in all columns: a number tells them apart, so that ranges can divide them
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order, "row").sortWithinPartitions(*order).drop("row").withColumn("first_turn", F.col("turn"))
+
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[Example]:
+        key, ids, mask, turns_of = None, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, object)
+
+        def cut() -> int:
+            """Tokens of the next example."""
+            before = np.concatenate([[0], np.cumsum(mask)])
+            return max(1, min(int(np.searchsorted(before, limits.loss, side="right")) - 1, limits.tokens, len(ids)))
+
+        for rows in _small(batches):
+            for row in rows:
+                if key is not None and key != (row["conv_id"],):
+                    while len(ids):
+                        n = cut()
+                        yield (*key, turns_of[0]), ids[:n], mask[:n]
+                        ids, mask, turns_of = ids[n:], mask[n:], turns_of[n:]
+                key = (row["conv_id"],)
+                part = np.append(byte_bpe(paths).ids(row["role"] + "\n" + row["text"]), np.uint32(end_id))
+                ids, mask = np.concatenate([ids, part]), np.concatenate([mask, np.full(len(part), int(row["role"] == learn_from), np.int64)])
+                turns_of = np.concatenate([turns_of, np.full(len(part), row["turn"], object)])
+                while len(ids) > limits.tokens or mask.sum() > limits.loss:
+                    n = cut()
+                    yield (*key, turns_of[0]), ids[:n], mask[:n]
+                    ids, mask, turns_of = ids[n:], mask[n:], turns_of[n:]
+        while len(ids):
+            n = cut()
+            yield (*key, turns_of[0]), ids[:n], mask[:n]
+            ids, mask, turns_of = ids[n:], mask[n:], turns_of[n:]
+
+    return _packed(dealt, ["conv_id", "first_turn"], examples, limits, False, POOL)

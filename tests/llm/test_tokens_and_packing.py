@@ -127,3 +127,45 @@ def test_conversations_learn_from_one_role(spark, sf):
     sums = found.groupby("sequence_id").agg(n=("length", "sum"), s=("length", "size"), o=("loss_tokens", "sum"))
     assert sums.n.max() <= 512 and sums.s.max() <= 8 and sums.o.max() <= 256
     assert set(found.conv_id) == {r[0] for r in turns.select("conv_id").distinct().collect()}
+
+
+def test_many_tiny_documents_leave_little_padding(spark, library):
+    """Repeated and null ids and clashing columns too."""
+    rows = [(i if i % 50 else None, "ab cd"[: 1 + i % 5], i) for i in range(20_000)]
+    found = pack_documents(spark.createDataFrame(rows, DOCS + ", sequence_id int").repartition(4)).toPandas()
+    sums = found.groupby("sequence_id").length.sum()
+    assert sums.max() <= 2048 and sums[sums & (sums - 1) != 0].rsub(2048).sum() < 0.02 * 2048 * len(sums)
+    assert found.length.sum() == sum(len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t, _ in rows)
+    named = pack_documents(spark.createDataFrame([(2.5, "a"), (2.5, None)], "doc_id double, text string"))
+    assert [r["doc_id"] for r in named.collect()] == [2.5, 2.5]
+
+
+def test_long_texts_and_conversations(spark, library):
+    text = "word after word, " * 40_000
+    want = [*library.encode(text, add_special_tokens=False).ids, 1]
+    pieces = sorted((r["start"], r["length"], r["ids_crc32"]) for r in pack_documents(spark.createDataFrame([(1, text)], DOCS)).collect())
+    assert [s for s, _, _ in pieces] == list(np.cumsum([0, *(n for _, n, _ in pieces)])[:-1]) and sum(n for _, n, _ in pieces) == len(want)
+    assert all(c == zlib.crc32(np.array(want[s : s + n], "<u4").tobytes()) for s, n, c in pieces)
+    counts = count_sections(spark.createDataFrame([(1, text)], DOCS)).collect()
+    assert [r["n_tokens"] for r in counts] == [len(want) - 1]
+
+
+def test_conversations_are_whole_examples(spark, library):
+    """Against brute force: each example is a run of its conversation's tokens, all runs make it up; one conversation is very long."""
+    rows = [(c, t, ("user", "assistant")[t % 2], f"turn {t} of {c} " * (1 + c % 7)) for c in range(40) for t in range(1 + c % 5)]
+    rows += [(99, t // 3, "assistant", "the same words again and again") for t in range(900)] + [(None, 0, None, None), (3, None, "user", "no turn")]
+    turns = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, first_turn int")
+    limits = Limits(200, 5, 90)
+    found = pack_conversations(turns, limits).toPandas()
+    sums = found.groupby("sequence_id").agg(n=("length", "sum"), s=("length", "size"), o=("loss_tokens", "sum"))
+    assert sums.n.max() <= 200 and sums.s.max() <= 5 and sums.o.max() <= 90
+    tokens, loss = defaultdict(int), defaultdict(int)
+    for c, _, role, text in rows:
+        n = len(library.encode((role or "") + "\n" + (text or ""), add_special_tokens=False).ids) + 1
+        tokens[c] += n
+        loss[c] += n * (role == "assistant")
+    got = found.fillna({"conv_id": -1}).groupby("conv_id").agg(n=("length", "sum"), o=("loss_tokens", "sum"), k=("length", "size"))
+    assert {c: (int(r.n), int(r.o)) for c, r in got.iterrows()} == {-1 if c is None else c: (tokens[c], loss[c]) for c in tokens}
+    whole = [c for c in tokens if c is not None and tokens[c] <= 200 and loss[c] <= 90]
+    assert (got.k[whole] == 1).mean() > 0.9  # cut only where a partition ends
+    assert pack_conversations(turns.limit(0)).count() == 0
