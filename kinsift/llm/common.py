@@ -62,6 +62,14 @@ def unique_columns(df: DataFrame, needed: list[str]) -> DataFrame:
     return df.select(*[df[c] for c in needed])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_slices(column: pa.Array | pa.ChunkedArray, max_bytes: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Slices of a string column as (first row, UTF-8 bytes, row offsets), of max_bytes at most unless one text alone is longer.
 

@@ -1,7 +1,8 @@
 """Exact dedup by a Golomb-coded fingerprint exchange.
 
-1. Each partition sends the distinct 64-bit fingerprints of its normalised texts, sorted and
-   Golomb-Rice coded, to the owners of the fingerprint ranges.
+1. The fingerprints of all texts are written once; read again, many of the texts' partitions are one of
+   theirs. Each sends its distinct 64-bit fingerprints, sorted and Golomb-Rice coded, to the owners of the
+   fingerprint ranges, of which there are as many as the rows need.
 2. Owners answer each message with a bitmap: which of its fingerprints another message has too.
 3. Only the suspects' texts are shuffled, grouped by their bytes; partial aggregation sends a text
    once from a partition, however many copies that partition has.
@@ -17,9 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import blank_run, join_by_hot_key, materialize, scan_partitions, sized_join, unique_columns
+from kinsift.llm.common import blank_run, free_name, join_by_hot_key, materialize, sized_join, unique_columns
 
 RANGE_BITS = 64
+OWNER_FINGERPRINTS = 4_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -119,9 +121,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     source = unique_columns(docs, [id_col, text_col]).select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     id_type = source.schema["id"].dataType.simpleString()
-    owners = scan_partitions(source)
+    hashes = materialize(source.select("id", F.sha2("norm", 256).alias("sha"), F.xxhash64("norm").alias("fp")), "hashes")
+    total = hashes.count()
+    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // OWNER_FINGERPRINTS))
     schema = f"kind string, id {id_type}, sha string, sender int, owner int, place int, here bigint, row_no bigint, n int, k int, unary binary, packed binary"
-    exchange = materialize(source.select("id", F.sha2("norm", 256).alias("sha"), F.xxhash64("norm").alias("fp")).mapInArrow(_send(owners), schema), "exchange", "kind")
+    exchange = materialize(hashes.mapInArrow(_send(owners), schema), "exchange", "kind")
     rows = exchange.filter("kind = 'row'").select("id", "sha", "sender", "owner", "place", "here", "row_no")
     messages = exchange.filter("kind = 'message'").select("sender", "owner", "n", "k", "unary", "packed")
     bitmaps = messages.groupBy("owner").applyInArrow(_answer, "sender int, owner int, bitmap binary")
@@ -129,24 +133,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = rows.join(bitmaps, ["sender", "owner"], "left").select("id", "sha", "sender", "row_no", ((F.col("here") > 1) | (F.coalesce(bit, F.lit(0)) == 1)).alias("suspect"))
     marked = materialize(marked, "marked")
     suspects = marked.filter("suspect")
-    n_suspects, total = suspects.count(), marked.count()
+    n_suspects = suspects.count()
     # texts of suspects, found again by id; a null id finds its text by null-safe equality
     wanted = suspects.select(F.col("id").alias("_id")).distinct()
     texts = sized_join(source, wanted, source["id"].eqNullSafe(F.col("_id")), "left_semi", n_suspects)
     groups = texts.groupBy(F.sha2("norm", 256).alias("sha"), "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).drop("norm")
     groups = materialize(groups, "groups")
+    found = materialize(join_by_hot_key(suspects, groups, "sha", "group_size", max(1, total)), "found")
     # the row that stays, among rows that repeat the smallest id
-    stays = suspects.join(groups.select("sha", "keep_id"), "sha") if n_suspects * 64 > 32 << 20 else suspects.join(F.broadcast(groups.select("sha", "keep_id")), "sha")
-    stays = stays.filter(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("sha").agg(F.min(F.struct("sender", "row_no")).alias("stay"))
-    groups = materialize(groups.join(stays, "sha", "left"), "groups")
-    found = join_by_hot_key(suspects, groups, "sha", "group_size", max(1, total))
-    found = found.select("id", "keep_id", "group_size", F.coalesce(F.struct("sender", "row_no") == F.col("stay"), F.lit(False)).alias("kept"), F.col("sha").alias("text_sha256"))
+    first = found.filter(F.col("id").eqNullSafe(F.col("keep_id")))
+    stays = materialize(first.groupBy("sha").agg(F.min(F.struct("sender", "row_no")).alias("stay"), F.count(F.lit(1)).alias("rows")), "stays")
+    first = join_by_hot_key(first, stays, "sha", "rows", max(1, total)).withColumn("kept", F.struct("sender", "row_no") == F.col("stay"))
+    named = ["id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")]
+    found = first.select(*named).unionByName(found.filter(~F.col("id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False)).select(*named))
     alone = marked.filter("not suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     return found.unionByName(alone).withColumnRenamed("id", id_col)
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns; of rows that repeat an id and a text one stays. Cases as exact_duplicates says."""
     result = materialize(exact_duplicates(docs, id_col, text_col), "dedup")
     gone = materialize(result.filter("not kept").select(F.col(id_col).alias("_id")).distinct(), "gone")
     # ids with a row that stays beside one that goes
@@ -158,7 +163,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # only the rows of such ids are told apart by their texts
     repeated = sized_join(docs, again, docs[id_col].eqNullSafe(again["_id"]), "left_semi")
     key = F.sha2(normalised(F.col(text_col)), 256)
-    repeated = repeated.withColumn("_sha", key).dropDuplicates([id_col, "_sha"])
+    sha = free_name(docs, "_sha")
+    repeated = repeated.withColumn(sha, key).dropDuplicates([id_col, sha])
     stay = result.filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_stay"))
-    repeated = repeated.join(stay, repeated[id_col].eqNullSafe(stay["_id"]) & (repeated["_sha"] == stay["_stay"]), "left_semi").drop("_sha")
+    repeated = repeated.join(stay, repeated[id_col].eqNullSafe(stay["_id"]) & (repeated[sha] == stay["_stay"]), "left_semi").drop(sha)
     return rest.unionByName(repeated)
