@@ -1,7 +1,8 @@
 """WARC archives with revisit resolution.
 
-Headers (id, payload digest and length) are shuffled by digest; of equal payloads one record becomes the
-response and the others revisits of it, written without their payload under fresh headers. Reading joins
+Headers (id, payload digests and length) are shuffled by digest, partly summed up before; of equal payloads
+one record becomes the response and the others revisits of it, written without their payload under fresh
+headers. Payloads count as equal by their SHA-256, as SHA-1, which the format names, can be forged. Reading joins
 each revisit to its response again. Archives are written and read by Spark itself, so they can lie in any
 store; their records are parsed by their Content-Length, never by looking for separators in payloads.
 """
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import join_by_hot_key, materialize, sized_join, unique_columns
+from kinsift.llm.common import BROADCAST_BYTES, join_by_hot_key, materialize, sized_join, unique_columns
 from kinsift.plans.lineage import shared_path
 
 # Fixed values of the WARC 1.1 format.
@@ -54,24 +55,25 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     payload = F.coalesce(F.col("_payload").cast("binary"), F.lit("").cast("binary"))
     rows = unique_columns(pages, [id_col, url_col, payload_col])
     rows = rows.select(rows[id_col].alias("id"), F.regexp_replace(rows[url_col].cast("string"), "[\r\n]", "%0A").alias("url"), rows[payload_col].alias("_payload"))
-    rows = rows.select("id", "url", payload.alias("payload")).withColumn("digest", sha1_base32(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("bigint"))
-    headers = rows.select("id", "url", "digest", "bytes").filter(F.col("bytes") >= min_bytes)
-    groups = headers.groupBy("digest", "bytes").agg(F.max(F.struct("id", "url")).alias("first"), F.count(F.lit(1)).alias("records")).filter("records > 1")
-    groups = groups.select(F.col("digest").alias("_digest"), F.col("bytes").alias("_bytes"), F.col("first.id").alias("_id"), F.col("first.url").alias("_url"), F.lit(True).alias("_shared"))
-    groups = materialize(groups, "payloads")
-    joined = sized_join(rows, groups, (F.col("digest") == F.col("_digest")) & (F.col("bytes") == F.col("_bytes")), "left")
+    rows = rows.select("id", "url", payload.alias("payload")).withColumn("digest", sha1_base32(F.col("payload"))).withColumn("bytes", F.octet_length("payload").cast("bigint")).withColumn("sha", F.sha2("payload", 256))
+    headers = rows.select("id", "url", "sha", "bytes").filter(F.col("bytes") >= min_bytes)
+    groups = headers.groupBy("sha").agg(F.max(F.struct("id", "url")).alias("first"), F.count(F.lit(1)).alias("records"), F.first("bytes").alias("size")).filter("records > 1")
+    groups = materialize(groups.select("sha", "records", F.col("first.id").alias("_id"), F.col("first.url").alias("_url"), F.lit(True).alias("_shared")), "payloads")
+    held, total = groups.agg(F.coalesce(F.sum(F.lit(128) + F.coalesce(F.octet_length("_url"), F.lit(0))), F.lit(0)), F.coalesce(F.sum("records"), F.lit(0))).first()
+    # beyond the bound only very common payloads' headers are broadcast, and their rows stay where they are
+    joined = rows.join(F.broadcast(groups), "sha", "left") if held <= BROADCAST_BYTES else join_by_hot_key(rows, groups, "sha", "records", max(1, total))
     revisit = F.coalesce(F.col("_shared") & ~F.col("id").eqNullSafe(F.col("_id")), F.lit(False))
     http = F.concat(F.lit(HTTP_HEAD), F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
     head = F.concat(
         F.lit(VERSION + CRLF),
         _header("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        _header("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), record_id(F.col("id"), F.col("url"), F.col("digest")), F.lit(">"))),
+        _header("WARC-Record-ID", F.concat(F.lit("<urn:uuid:"), F.when(revisit, F.uuid()).otherwise(record_id(F.col("id"), F.col("url"), F.col("sha"))), F.lit(">"))),
         _header("WARC-Date", F.lit(date)),
         _header("WARC-Target-URI", F.col("url")),
         _header("X-Page-Id", F.col("id").cast("string")),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.when(revisit, F.concat(
-            _header("WARC-Refers-To", F.concat(F.lit("<urn:uuid:"), record_id(F.col("_id"), F.col("_url"), F.col("digest")), F.lit(">"))),
+            _header("WARC-Refers-To", F.concat(F.lit("<urn:uuid:"), record_id(F.col("_id"), F.col("_url"), F.col("sha")), F.lit(">"))),
             _header("WARC-Refers-To-Target-URI", F.col("_url")),
             _header("WARC-Refers-To-Date", F.lit(date)),
             _header("WARC-Profile", F.lit(REVISIT_PROFILE)),
@@ -84,10 +86,21 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return joined.select(F.concat(head.cast("binary"), body).alias("record"))
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 4000) -> None:
-    """Writes records to WARC files below path; each ends with two line ends, as the format says."""
-    # the text writer puts bytes out as they are
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).text(path)
+#: Records of up to so many bytes, and how many of them a file gets: 128 MiB at most, or a record.
+FILES = ((64 << 10, 2048), (1 << 20, 128), (16 << 20, 8), (None, 1))
+
+
+def write_warc(records: DataFrame, path: str, files: tuple[tuple[int | None, int], ...] = FILES) -> None:
+    """Writes records to WARC files below path, by size; each ends with two line ends, as the format says."""
+    size = F.octet_length("record")
+    kind = F.coalesce(*[F.when(F.lit(most is None) | (size <= (most or 0)), i) for i, (most, _) in enumerate(files)])
+    found = [x[0] for x in records.select(kind.alias("kind")).distinct().collect()]  # a few numbers
+    for i in sorted(found):
+        # the text writer puts bytes out as they are
+        own = records.filter(kind == i).select(F.col("record").cast("string").alias("value"))
+        own.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", files[i][1]).text(f"{path}/{i}")
+    if not found:
+        records.select(F.col("record").cast("string").alias("value")).write.text(f"{path}/0")
 
 
 def parse_warc(content: bytes) -> Iterator[dict]:
@@ -128,7 +141,7 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> Data
                     types = [pa.string()] * 6 + [pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
     return files.select("content").mapInArrow(run, RECORDS)
 
 
