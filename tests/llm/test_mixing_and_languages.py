@@ -8,8 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from kinsift.llm.langid import build_filters, gram_hashes, identify_languages, score_texts
-from kinsift.llm.mixing import mixed_documents, pareto_mix
+from kinsift.llm.langid import build_filters, fit_filters, gram_hashes, identify_languages, score_texts
+from kinsift.llm.mixing import length_weight, mixed_documents, pareto_mix
 from kinsift.llm.secrets import find_secrets
 from kinsift.llm.warc import archive_and_resolve, parse_warc, read_warc, warc_records, write_warc
 
@@ -30,9 +30,10 @@ def water(sizes, cap=3.0):
         capped |= over
 
 
-def test_mix(spark, sf):
+@pytest.mark.parametrize("weight", [None, length_weight])
+def test_mix(spark, sf, weight):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    found = pareto_mix(docs).toPandas()
+    found = pareto_mix(docs, weight=weight).toPandas()
     sizes = found.groupby("source")["size"].sum().to_dict()
     targets = water(sizes)
     assert len(found) == docs.count() and (found.source_size == found.source.map(sizes)).all()
@@ -41,7 +42,7 @@ def test_mix(spark, sf):
     largest = found.groupby("source")["size"].max()
     for s in taken.index:
         assert abs(taken[s] - targets[s]) <= max(1, 0.02 * targets[s], largest[s] / 2)
-    again = pareto_mix(docs.repartition(5)).toPandas()
+    again = pareto_mix(docs.repartition(5), weight=weight).toPandas()
     assert dict(zip(found.doc_id, found.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
 
 
@@ -68,11 +69,44 @@ def test_rows_that_repeat_an_id_share_their_copies(spark):
 
 def test_heavier_documents_are_taken_more_often(spark):
     rows = [(i, "word " * 10, "s", 4.0 if i < 200 else 1.0) for i in range(1000)] + [(5000, "word " * 10000, "t", 1.0)]
-    found = pareto_mix(spark.createDataFrame(rows, DOCS + ", w double"), weight_col="w").toPandas()
+    found = pareto_mix(spark.createDataFrame(rows, DOCS + ", w double"), weight="w").toPandas()
     light, heavy = found[(found.source == "s") & (found.doc_id >= 200)], found[found.doc_id < 200]
     assert heavy.copies.mean() > 1.5 * light.copies.mean()
 
 
+def test_draw_equals_plain_pareto_sampling(spark):
+    """Sources of equal sizes, so the words to take are a number of documents: those with the smallest odds over inclusion odds."""
+    r = np.random.default_rng(11)
+    rows = [(i, "word " * 10, "ab"[i % 3 == 0], float(w)) for i, w in enumerate(r.choice([0, 1, 2, 5, 40], 600))]
+    found = pareto_mix(spark.createDataFrame(rows, DOCS + ", w double"), weight="w", seed=7).toPandas().set_index("doc_id")
+    sizes = {s: 10 * sum(x[2] == s for x in rows) for s in "ab"}
+    for s, target in water(sizes).items():
+        own = [(i, w) for i, _, source, w in rows if source == s]
+        capped = set()
+        while True:
+            free = [(i, w) for i, w in own if i not in capped]
+            level = (target - 30 * len(capped)) / (10 * sum(w for _, w in free))
+            over = {i for i, w in free if level * w > 3}
+            if not over:
+                break
+            capped |= over
+        expected = {i: 3.0 if i in capped else level * w for i, w in own}
+        ranks = []
+        for i, e in expected.items():
+            if chance := round(e, 12) - int(round(e, 12)):
+                u = (int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                ranks.append((u / (1 - u) / (chance / (1 - chance)), i))
+        more = {i for _, i in sorted(ranks)[: int((target - 10 * sum(int(round(e, 12)) for e in expected.values()) + 5) // 10)]}
+        assert {i: int(round(e, 12)) + (i in more) for i, e in expected.items()} == found.copies[[i for i, _ in own]].to_dict()
+
+
+def test_mix_minds_no_names(spark):
+    rows = [(i, "one two three", "s", 1, 2, 3, 4, 5) for i in range(5)] * 2 + [(8, "long " * 30000, "t", 1, 2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, DOCS + ", _copies int, _key int, row int, _mix int, size int")
+    mixed = mixed_documents(df, weight=length_weight)
+    assert mixed.columns == df.columns and mixed.count() >= 10
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
@@ -151,10 +185,60 @@ def test_archives_round_trip(spark, tmp_path):
         assert r["payload_bytes"] == len(payload) and r["payload_digest"] == b32encode(hashlib.sha1(payload).digest()).decode()
         assert (r["record_type"], r["refers_to"]) == (("response", None) if i == head else ("revisit", head))
     path = str(tmp_path / "w")
-    write_warc(warc_records(spark.createDataFrame(rows, PAGES), min_bytes=1), path, 2)
+    write_warc(warc_records(spark.createDataFrame(rows, PAGES), min_bytes=1), path, ((400, 2), (None, 1)))
     back = read_warc(spark, path).collect()
     assert sorted(r["page_id"] or "" for r in back) == sorted(str(i or "") for i, _, _ in rows)
     assert {bytes(r["payload"]) for r in back if r["record_type"] == "response"} == set(groups)
     with pytest.raises(ValueError):
         list(parse_warc(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort"))
     assert archive_and_resolve(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_language_scores_equal_brute_force():
+    """Counts by looking each n-gram of each text up in each language's set of slots, and the correction by its formula."""
+    r = np.random.default_rng(2)
+    texts = {"a": "die katze und der hund", "b": "the cat and the dog are here", "c": "le chat et le chien"}
+    filters = build_filters({k: np.unique(np.concatenate([gram_hashes(np.frombuffer(f" {t} ".encode(), np.uint8), n) for n in (3, 5)])) for k, t in texts.items()})
+    many = ["the hund", "", "x", "le cat and le dog", "katze " * 30, "".join(r.choice(list("abcdehilnt "), 300))]
+    data = [t.encode() for t in many]
+    scored = score_texts(filters, np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    for t, got in zip(many, scored, strict=True):
+        body = np.frombuffer(f" {t} ".encode(), np.uint8)
+        for i, wrong in enumerate(filters.wrong):
+            hits = looked = 0
+            for n in (3, 5):
+                for h in gram_hashes(body, n).tolist():
+                    looked += 1
+                    slots = [(h >> (64 - filters.bits - j * ((64 - filters.bits) // 3))) & ((1 << filters.bits) - 1) for j in range(3)]
+                    hits += all(filters.slots[0][s] >> i & 1 for s in slots)
+            assert got[i] == pytest.approx(max(0.0, (hits - looked * wrong) / (1 - wrong)))
+
+
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    from kinsift.llm import langid
+
+    filters = build_filters({"a": gram_hashes(np.frombuffer(b" some letters of a ", np.uint8), 3), "b": gram_hashes(np.frombuffer(b" others in b ", np.uint8), 5)})
+    data = np.frombuffer(b"some others of a letter in b and others " * 50, np.uint8)
+    whole = score_texts(filters, data, np.array([0, len(data)]))
+    monkeypatch.setattr(langid, "LOOKED_UP", 37)
+    assert (score_texts(filters, data, np.array([0, len(data)])) == whole).all() and whole.sum() > 0
+
+
+def test_fit_equals_counting_by_hand(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("ab cd", "x"), ("ab zz", "x"), ("cd cd", "y"), ("qq", "y"), (None, "x"), ("ab", None), ("", "z")])]
+    filters = fit_filters(spark.createDataFrame(rows, "doc_id long, text string, lang string"), least=0.5, share=0.9)
+    grams = lambda t: {h for n in (3, 5) for h in gram_hashes(np.frombuffer(f" {t} ".encode(), np.uint8), n).tolist()}
+    rates = {"x": Counter(), "y": Counter(), "z": Counter()}
+    texts = Counter(lang for _, t, lang in rows if t is not None and lang)
+    for _, t, lang in rows:
+        if t is not None and lang:
+            rates[lang].update(grams(t))
+    want = {lang: np.array(sorted(g for g, n in c.items() if n / texts[lang] >= 0.5 and n / texts[lang] >= 0.9 * max(rates[k][g] / texts[k] for k in rates)), np.uint64) for lang, c in rates.items()}
+    made = build_filters(want)
+    assert made.languages == filters.languages and all((a == b).all() for a, b in zip(made.slots, filters.slots, strict=True))
+
+
+def test_archives_with_clashing_names_and_repeated_ids(spark):
+    rows = [(7, "u", "one payload " * 9, 1), (7, "u", "one payload " * 9, 1), (7, "v", "one payload " * 9, 1), (3, "w", "one payload " * 9, 1), (2, None, "x" * 300_000, 1)]
+    found = archive_and_resolve(spark.createDataFrame(rows, PAGES + ", digest int")).toPandas()
+    assert len(found) == 5 and sorted(found[found.record_type == "revisit"].page_id) == [3] and set(found.refers_to.dropna()) == {7}
