@@ -9,37 +9,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinsift.llm.common import free_name
 from kinsift.llm.exact_dedup import drop_exact_duplicates
 from kinsift.llm.jaccard import drop_near_duplicates
 from kinsift.llm.langid import UNDETERMINED, fit_filters, held_out, identify
-from kinsift.llm.mixing import mixed_documents
+from kinsift.llm.mixing import length_weight, mixed_documents
 from kinsift.llm.packing import pack_documents
 from kinsift.plans.lineage import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay: those with letters. Rows held out of training are judged like all others."""
+    """Documents stay in which n-grams of a learned language are found more often than filters err; where none was learned, those with letters.
+
+    Null and empty texts and those without letters go. Rows held out of training are judged like all others. Equal
+    scores play no part, repeated rows are judged alike, an empty table gives no rows.
+    """
     filters = fit_filters(docs.filter(~held_out(F.col("doc_id"))))
-    return identify(docs, filters).filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    names = free_name(docs, "lang_pred"), free_name(docs, "score")
+    if not filters.languages:
+        return docs.filter(F.col("text").rlike(r"\pL"))
+    return identify(docs, filters, names=names).filter((F.col(names[0]) != UNDETERMINED) & (F.col(names[1]) > 0)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents equal but for blanks, the one with the smallest doc_id stays."""
+    """Of documents equal but for blanks, the one with the smallest doc_id stays; null texts are empty ones, null ids come last, one of rows repeated with an id stays."""
     return drop_exact_duplicates(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a shingle similarity of 0.8 or more, directly or through others, the one with the smallest doc_id stays."""
+    """Of documents linked by a shingle similarity of 0.8 or more, directly or through others, the one with the smallest doc_id stays.
+
+    Documents without words all stay; null ids come last, one of rows repeated with an id and a set of shingles stays.
+    """
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as the mix takes it."""
-    return mixed_documents(docs)
+    """The documents of the mix, each as often as the mix takes it; longer ones have higher odds.
+
+    Documents without words go; a null source is one; rows that repeat an id, a source and a size share their copies.
+    """
+    return mixed_documents(docs, weight=length_weight)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of token sequences."""
+    """The pieces of token sequences; a null text is an end id alone, repeated rows are documents of their own."""
     return pack_documents(docs)
 
 
