@@ -1,19 +1,21 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 1. Documents with the same shingle set are one class; classes, not copies, are joined.
-2. Each partition sends its classes' shingles, sorted and delta-coded, to the owners of their ranges;
-   owners count in how many classes a shingle is and send on only those in two or more, by class. What is
-   frequent already within a partition goes straight to its classes and counts as the most frequent of all,
-   everywhere, so no owner holds all classes of a common shingle. A class whose shared shingles are too few
-   for any link drops out here.
+2. Each partition deals its classes to flushes of bounded size. A flush sends its shingles, sorted and
+   delta-coded, to the owners of their ranges; owners count in how many classes a shingle is and answer each
+   flush with those in two or more. What is frequent already within a flush it doesn't send: that counts as
+   the most frequent of all, everywhere, so no owner holds all classes of a common shingle. A class whose
+   shared shingles are too few for any link drops out here.
 3. A class's shared shingles are ordered from rare to frequent. Level l's prefix is as long as it must be for
    two linked classes to share l shingles of it. Each class takes the level that its estimated candidates,
    the frequencies of its prefix shingles, ask for.
-4. Seeds: classes with equal smallest, largest or smallest rehashed shingle meet in blocks of bounded size and
-   are compared exactly; what is linked there is one component. This only spares work in the join.
-5. The join: classes of different components meet at each prefix shingle that they share. A pair is counted at
-   the lower of the two levels, becomes a candidate with as many shared prefix shingles as that level says,
-   and is then compared exactly. Lists of frequent prefix shingles are split into salted blocks.
+4. Seeds: classes with equal smallest, largest or smallest rehashed shingle meet in blocks of bounded size,
+   each with its group's most central class, and are compared exactly; what is linked there is one
+   component. This only spares work in the join.
+5. The join: classes of different components meet at each prefix shingle that they share, if their sizes and
+   the shingle's places leave room for a link. A pair is counted at the lower of the two levels, becomes a
+   candidate with as many shared prefix shingles as that level says, and is then compared exactly. Lists of
+   frequent prefix shingles are split into salted blocks.
 """
 
 from __future__ import annotations
@@ -25,20 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import give_back, join_by_hot_key, materialize, sized_join, small_batches, unique_columns
-from kinsift.llm.shingles import batch_sets, name_bytes, set_name
+from kinsift.llm.common import free_name, give_back, join_by_hot_key, materialize, sized_join, small_batches, unique_columns
+from kinsift.llm.shingles import batch_sets, mixed, name_bytes, set_name
 from kinsift.operators.components import connected_components
 
 OWNER_SHINGLES = 1_500_000
 FLUSH_SHINGLES = 1_000_000
 #: Classes of a flush with a shingle from which on it is frequent.
 FREQUENT = 64
-MOST = np.iinfo(np.int32).max
+#: The rank of frequent shingles; all others have lower ones.
+MOST = 255
 #: Hashes have so many bits more than the number of all shingles: a pair of classes with 1,000 shingles each
 #: is then miscounted with odds of one in 16 times that number, at most.
 SPARE_BITS = 24
 #: Seeds are compared, and lists of the join met, in blocks of at most so many classes, and shingles.
-BLOCK_CLASSES = 1024
+BLOCK_CLASSES = 2048
 BLOCK_SHINGLES = 1_500_000
 LIST_CLASSES = 4096
 LEVELS = (1, 2, 4, 8)
@@ -69,59 +72,40 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def _name_planes(names: np.ndarray) -> bytes:
-    return _planes(names[:, 0]) + _planes(names[:, 1])
-
+#: A flush's tokens for an owner with the places of their classes; or, with names and sizes, what a flush keeps for itself: its frequent tokens.
+MESSAGE = "owner int, flush bigint, tokens binary, refs binary, frequent binary, names binary, sizes binary, sent int"
+_MESSAGE_TYPES = [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.int32()]
+_MESSAGE_NAMES = [x.split()[0] for x in MESSAGE.split(", ")]
 
-def _from_name_planes(data: bytes) -> np.ndarray:
-    half = len(data) // 2
-    return np.stack([_from_planes(data[:half]), _from_planes(data[half:])], 1)
 
+def _refs(values: np.ndarray, n: int) -> bytes:
+    return values.astype(np.uint16 if n <= 65536 else np.uint32).tobytes()
 
-#: To an owner: a message of tokens with the places of their classes, or entries that go straight on to a bucket, a class each.
-MESSAGE = "owner int, direct boolean, tokens binary, refs binary, classes binary, sizes binary, frequent binary"
-_MESSAGE_TYPES = [pa.int32(), pa.bool_(), *[pa.binary()] * 5]
-_MESSAGE_NAMES = [x.split()[0] for x in MESSAGE.split(", ")]
 
-
-def _buckets_of(names: np.ndarray, buckets: int) -> np.ndarray:
-    return (names[:, 0] >> np.uint64(3)) % np.uint64(buckets)
+def _from_refs(data: bytes, tokens: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint16 if len(data) == 2 * tokens else np.uint32)
 
 
 def _flush(names: list[tuple[int, int]], sets: list[np.ndarray], bits: int, starts: np.ndarray) -> pa.RecordBatch:
-    owners = len(starts)
     sizes, names = np.array([len(s) for s in sets], np.int32), np.array(names, np.uint64).reshape(-1, 2)
+    # named by what it holds: a rerun that deals rows otherwise makes other flushes
+    flush = int(mixed(names[:, 0] ^ mixed(names[:, 1])).sum(dtype=np.uint64).view(np.int64))
     tokens, refs = np.concatenate(sets) >> np.uint64(64 - bits), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
     order = np.argsort(tokens)
     tokens, refs = tokens[order], refs[order]
     edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
     times = np.diff(np.append(edge, len(tokens)))
-    often = np.repeat(times >= FREQUENT, times)
-    frequent = tokens[edge[times >= FREQUENT]]
-    out: list[list] = [[] for _ in _MESSAGE_NAMES]
-
-    def put(*row) -> None:
-        for column, value in zip(out, row, strict=True):
-            column.append(value)
-
+    often, frequent = np.repeat(times >= FREQUENT, times), tokens[edge[times >= FREQUENT]]
     own_tokens, own_refs = tokens[often], refs[often]
-    bucket = _buckets_of(names, owners)[own_refs]
-    by = np.argsort(bucket, kind="stable")
-    own_tokens, own_refs, bucket = own_tokens[by], own_refs[by], bucket[by]
-    cuts = np.append(np.searchsorted(bucket, np.arange(owners, dtype=np.uint64)), len(bucket))
-    for j in np.flatnonzero(np.diff(cuts)):
-        a, b = cuts[j], cuts[j + 1]
-        put(int(j), True, _planes(own_tokens[a:b]), np.full(b - a, MOST, np.int32).tobytes(), _name_planes(names[own_refs[a:b]]), sizes[own_refs[a:b]].tobytes(), None)
     tokens, refs = tokens[~often], refs[~often]
-    cuts, hot_cuts = (np.append(np.searchsorted(x, starts), len(x)) for x in (tokens, frequent))
-    for j in range(owners):
-        part, own, hot = tokens[cuts[j] : cuts[j + 1]], refs[cuts[j] : cuts[j + 1]], frequent[hot_cuts[j] : hot_cuts[j + 1]]
-        if not len(part) and not len(hot):
-            continue
-        present, local = np.unique(own, return_inverse=True)
-        small = local.astype(np.uint16 if len(present) <= 65536 else np.uint32)
-        put(j, False, _planes(np.diff(part, prepend=starts[j])), small.tobytes(), names[present].tobytes(), sizes[present].tobytes(), hot.tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _MESSAGE_TYPES, strict=True)], _MESSAGE_NAMES)
+    cuts, hot = (np.append(np.searchsorted(x, starts), len(x)).tolist() for x in (tokens, frequent))
+    rows = []
+    for j, start in enumerate(starts):
+        part, own = tokens[cuts[j] : cuts[j + 1]], refs[cuts[j] : cuts[j + 1]]
+        if len(part) or hot[j] < hot[j + 1]:
+            rows.append((j, flush, _planes(np.diff(part, prepend=start)), _refs(own, len(sets)), frequent[hot[j] : hot[j + 1]].tobytes(), None, None, None))
+    rows.append((flush % len(starts), flush, _planes(own_tokens), _refs(own_refs, len(sets)), None, names.tobytes(), sizes.tobytes(), len(rows)))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _MESSAGE_TYPES, strict=True)], _MESSAGE_NAMES)
 
 
 def _send(words: int, owners: int, bits: int):
@@ -149,68 +133,52 @@ def _send(words: int, owners: int, bits: int):
     return run
 
 
-SHARED = "bucket int, class binary, size binary, token binary, df binary"
-_SHARED_TYPES = [pa.int32(), *[pa.binary()] * 4]
-
+#: An owner's answer to a flush: its tokens in two classes or more with their ranks; or what the flush keeps, passed on.
+SHARED = "flush bigint, tokens binary, refs binary, ranks binary, names binary, sizes binary, sent int"
+_SHARED_TYPES = [pa.int64(), *[pa.binary()] * 5, pa.int32()]
 
-def _first_of(names: np.ndarray) -> np.ndarray:
-    """Which of many names are the first that say the same."""
-    order = np.lexsort((names[:, 1], names[:, 0]))
-    new = np.zeros(len(names), bool)
-    if len(names):
-        new[order[np.concatenate([[True], (names[order[1:]] != names[order[:-1]]).any(axis=1)])]] = True
-    return new
 
+def _ranks(df: np.ndarray) -> np.ndarray:
+    """Numbers of classes as bytes that rise with them, below MOST."""
+    return np.where(df < 128, df, np.minimum(MOST - 1, 128 + 4 * np.log2(np.maximum(df, 128) / 128))).astype(np.uint8)
 
-def _count(buckets: int):
-    def run(messages: pa.Table) -> pa.Table:
-        """Of one owner: entries (class, size, token, df) of the tokens that two classes have, dealt to buckets by class."""
-        tokens, refs, names, sizes, frequent, seen = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)], 0
-        out: list[list] = [[], [], [], [], []]
 
-        def put(*row) -> None:
-            for column, value in zip(out, row, strict=True):
-                column.append(value)
-
-        for i in range(len(messages)):
-            m = {name: messages.column(name)[i].as_py() for name in _MESSAGE_NAMES}
-            if m["direct"]:
-                put(m["owner"], m["classes"], m["sizes"], m["tokens"], m["refs"])
-                continue
-            own = np.frombuffer(m["classes"], np.uint64).reshape(-1, 2)
-            tokens.append(np.cumsum(_from_planes(m["tokens"]), dtype=np.uint64))
-            refs.append(np.frombuffer(m["refs"], np.uint16 if len(own) <= 65536 else np.uint32).astype(np.int64) + seen)
-            names.append(own)
-            sizes.append(np.frombuffer(m["sizes"], np.int32))
-            frequent.append(np.frombuffer(m["frequent"], np.uint64))
-            seen += len(own)
-        token, ref, name, size = (np.concatenate(x) for x in (tokens, refs, names, sizes))
-        use = _first_of(name)[ref]  # a class that another partition has sent too counts once
-        token, ref = token[use], ref[use]
-        order = np.argsort(token)
-        token, ref = token[order], ref[order]
-        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-        times = np.diff(np.append(edge, len(token)))
-        times[np.isin(token[edge], np.unique(np.concatenate(frequent)))] = MOST
-        df = np.repeat(times, np.diff(np.append(edge, len(token))))
-        shared = df > 1
-        token, ref, df = token[shared], ref[shared], df[shared].astype(np.int32)
-        bucket = _buckets_of(name, buckets)[ref]
-        by = np.lexsort((ref, bucket))
-        token, ref, df, bucket = token[by], ref[by], df[by], bucket[by]
-        cuts = np.append(np.searchsorted(bucket, np.arange(buckets, dtype=np.uint64)), len(bucket))
-        for j in np.flatnonzero(np.diff(cuts)):
-            a, b = cuts[j], cuts[j + 1]
-            put(int(j), _name_planes(name[ref[a:b]]), size[ref[a:b]].tobytes(), _planes(token[a:b]), df[a:b].tobytes())
-        del token, ref, name, size, df, bucket, order, by, shared, edge, tokens, refs, names, sizes
-        give_back()
-        return pa.table([pa.array(c, t) for c, t in zip(out, _SHARED_TYPES, strict=True)], names=[x.split()[0] for x in SHARED.split(", ")])
-
-    return run
-
-
-#: no: a number of the class in this join; low, high, other: the smallest and largest token, and the smallest after another hash.
-SUSPECT = "no bigint, class binary, n int, tokens binary, prefix int, level int, low bigint, high bigint, other bigint"
+def _count(messages: pa.Table) -> pa.Table:
+    """Of one owner: the answers to all its messages."""
+    out, tokens, refs, frequent, flushes = [], [np.zeros(0, np.uint64)], [], [np.zeros(0, np.uint64)], []
+    for i in range(len(messages)):
+        m = {name: messages.column(name)[i].as_py() for name in _MESSAGE_NAMES}
+        own = _from_planes(m["tokens"])
+        if m["names"] is not None:
+            out.append((m["flush"], m["tokens"], m["refs"], np.full(len(own), MOST, np.uint8).tobytes(), m["names"], m["sizes"], m["sent"]))
+            continue
+        tokens.append(np.cumsum(own, dtype=np.uint64))
+        refs.append(_from_refs(m["refs"], len(own)))
+        frequent.append(np.frombuffer(m["frequent"], np.uint64))
+        flushes.append(m["flush"])
+    cuts = np.cumsum([len(x) for x in tokens])
+    token = np.concatenate(tokens)
+    del tokens
+    order = np.argsort(token)
+    in_order = token[order]
+    edge = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]])) if len(token) else np.zeros(0, np.int64)
+    times = np.diff(np.append(edge, len(token)))
+    ranks = _ranks(times)
+    ranks[np.isin(in_order[edge], np.unique(np.concatenate(frequent)))] = MOST
+    rank = np.empty(len(token), np.uint8)
+    rank[order] = np.repeat(ranks, times)
+    del order, in_order
+    for flush, own, a, b in zip(flushes, refs, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        shared = rank[a:b] > 1
+        out.append((flush, _planes(token[a:b][shared]), own[shared].tobytes(), rank[a:b][shared].tobytes(), None, None, None))
+    answer = pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SHARED_TYPES, strict=True)], names=[x.split()[0] for x in SHARED.split(", ")])
+    del token, rank, out, refs
+    give_back()
+    return answer
+
+
+#: low, high, other: the smallest and largest token, and the smallest after another hash; central: how frequent the tokens are.
+SUSPECT = "class binary, n int, m int, tokens binary, prefix int, level int, low bigint, high bigint, other bigint, central float"
 
 
 def level_of(cost: int, need: int) -> int:
@@ -224,33 +192,33 @@ def level_of(cost: int, need: int) -> int:
 
 def _suspects(percent: int):
     def run(parts: pa.Table) -> pa.Table:
-        """Of one bucket: the classes that can have a link, with their shared tokens from rare to frequent."""
-        blobs = {c: parts.column(c).to_pylist() for c in ("bucket", "class", "size", "token", "df")}
-        name = np.concatenate([_from_name_planes(b) for b in blobs["class"]])
-        token = np.concatenate([_from_planes(b) for b in blobs["token"]])
-        size = np.concatenate([np.frombuffer(b, np.int32) for b in blobs["size"]])
-        df = np.concatenate([np.frombuffer(b, np.int32) for b in blobs["df"]])
-        order = np.lexsort((token, df, name[:, 1], name[:, 0]))
-        name, token, size, df = name[order], token[order], size[order], df[order]
-        other = np.concatenate([[True], (name[1:] != name[:-1]).any(axis=1)])
-        # a frequent token may come straight from one partition's copy of a class and through its owner from another's
-        use = other | np.concatenate([[True], token[1:] != token[:-1]])
-        name, token, size, df, other = name[use], token[use], size[use], df[use], other[use]
-        cuts = np.append(np.flatnonzero(other), len(token))
+        """Of one flush: the classes that can have a link, with their shared tokens from rare to frequent."""
+        rows = parts.to_pylist()
+        kept = [r for r in rows if r["names"] is not None]
+        if len(kept) != 1 or kept[0]["sent"] != len(rows) - 1:
+            raise RuntimeError("a flush's answers are not complete: the documents were not the same when they were read again")
+        names, sizes = np.frombuffer(kept[0]["names"], np.uint64).reshape(-1, 2), np.frombuffer(kept[0]["sizes"], np.int32)
+        lists = [_from_planes(r["tokens"]) for r in rows]
+        token, rank = np.concatenate(lists), np.concatenate([np.frombuffer(r["ranks"], np.uint8) for r in rows])
+        ref = np.concatenate([_from_refs(r["refs"], len(x)).astype(np.uint32) for r, x in zip(rows, lists, strict=True)])
+        del rows, lists
+        need = least_overlap(sizes.astype(np.int64), percent)
+        able = np.bincount(ref, minlength=len(sizes)) >= need
+        use = able[ref]
+        token, rank, ref = token[use], rank[use], ref[use]
+        order = np.lexsort((token, rank, ref))
+        token, rank, ref = token[order], rank[order], ref[order]
+        cuts = np.searchsorted(ref, np.arange(len(sizes) + 1)).tolist()
         out: list[list] = [[] for _ in SUSPECT.split(", ")]
-        for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
-            n, own = int(size[a]), token[a:b]
-            need = int(least_overlap(n, percent))
-            if b - a < need:
-                continue
+        for i in np.flatnonzero(able & (sizes > 0)).tolist():
+            own, ranks = token[cuts[i] : cuts[i + 1]], rank[cuts[i] : cuts[i + 1]].astype(np.int64)
             # tokens of no other class come first in the order and need not be sent
-            prefix = b - a - need + 1
-            cost = int((df[a : a + prefix].astype(np.int64) - 1).sum())
-            rehashed = own * np.uint64(0x9E3779B97F4A7C15)
-            row = ((blobs["bucket"][0] << 32) + i, name_bytes((int(name[a, 0]), int(name[a, 1]))), n, own.tobytes(), prefix, level_of(cost, need), *(int(np.array(x, np.uint64).view(np.int64)) for x in (own.min(), own.max(), rehashed.min())))
+            prefix = len(own) - int(need[i]) + 1
+            keys = (int(np.array(x, np.uint64).view(np.int64)) for x in (own.min(), own.max(), (own * np.uint64(0x9E3779B97F4A7C15)).min()))
+            row = (name_bytes((int(names[i, 0]), int(names[i, 1]))), int(sizes[i]), len(own), own.tobytes(), prefix, level_of(int((ranks[:prefix] - 1).sum()), int(need[i])), *keys, float(ranks.mean()))
             for column, value in zip(out, row, strict=True):
                 column.append(value)
-        types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+        types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "float": pa.float32()}
         return pa.table([pa.array(c, types[x.split()[1]]) for c, x in zip(out, SUSPECT.split(", "), strict=True)], names=[x.split()[0] for x in SUSPECT.split(", ")])
 
     return run
@@ -328,34 +296,36 @@ def _seeds(suspects: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between classes that meet at a seed key, as stars."""
     least = int(suspects.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(c).alias("key")) for i, c in enumerate(("low", "high", "other"))))).alias("k")
-    sizes = suspects.select(keys, "n").groupBy("k.side", "k.key").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("pieces"))
-    large = materialize(sizes.filter("pieces > 1"), "seed_sizes")
-    met = sized_join(suspects.select("no", "n", "tokens", keys).select("no", "n", "tokens", "k.side", "k.key"), large, ["side", "key"], "left")
-    # small groups share tasks; of a large one each block is a task
-    dealt = met.select(
-        F.when(F.col("pieces").isNull(), F.pmod(F.hash("key"), F.lit(4 * least)).cast("bigint")).otherwise(F.col("key")).alias("task"),
-        F.when(F.col("pieces").isNull(), -1).otherwise(F.pmod(F.xxhash64("no", "side"), F.col("pieces"))).cast("int").alias("block"),
-        "side", "key", "no", "n", "tokens",
+    sizes = suspects.select(keys, "no", "n", "central").groupBy("k.side", "k.key").agg(
+        F.count(F.lit(1)).alias("members"), F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("pieces"), F.max(F.struct("central", "no"))["no"].alias("hub")
     )
-    return dealt.groupBy("task", "block").applyInArrow(_seed_links(percent), "a bigint, b bigint")
+    groups = materialize(sizes.filter("members > 1").select("side", "key", "pieces", "hub"), "seed_sizes")
+    large = materialize(groups.filter("pieces > 1"), "large_seeds")
+    rows = suspects.select("no", "n", "tokens", keys).select("no", "n", "tokens", "k.side", "k.key")
+    met = sized_join(rows, large, ["side", "key"], "left")
+    # small groups share tasks; of a large one each block is a task
+    task = F.when(F.col("pieces").isNull(), F.pmod(F.hash("key"), F.lit(4 * least)).cast("bigint")).otherwise(F.col("key")).alias("task")
+    block = F.when(F.col("pieces").isNull(), -1).otherwise(F.pmod(F.xxhash64("no", "side"), F.col("pieces"))).cast("int").alias("block")
+    dealt = met.select(task, block, "side", "key", "no", "n", "tokens")
+    # a large group's most central class is in each of its blocks
+    hubs = sized_join(suspects.select("no", "n", "tokens"), large.withColumnRenamed("hub", "no"), "no", "inner")
+    hubs = hubs.select(F.col("key").alias("task"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("block"), "side", "key", "no", "n", "tokens")
+    return dealt.unionByName(hubs).groupBy("task", "block").applyInArrow(_seed_links(percent), "a bigint, b bigint").distinct()
 
 
-ENTRY = "token bigint, no bigint, n int, component bigint, level int, least int"
+ENTRY = "token bigint, no bigint, n int, m int, component bigint, level int, place int"
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The prefix tokens of classes at their levels, with the least level whose prefix has them."""
+    """The prefix tokens of classes at their levels, with their places in the order."""
     for batch in batches:
         lists = [np.frombuffer(t, np.int64) for t in batch.column("tokens").to_pylist()]
         if not lists:
             continue
         lengths = np.array([len(x) for x in lists])
-        prefix = np.repeat(batch.column("prefix").to_numpy(), lengths)
         place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        columns = {c: np.repeat(batch.column(c).to_numpy(), lengths) for c in ("no", "n", "component", "level")}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(lists)), *(pa.array(columns[c]) for c in ("no", "n", "component", "level")), pa.array(np.maximum(1, place - prefix + 2).astype(np.int32))], [x.split()[0] for x in ENTRY.split(", ")]
-        )
+        columns = [pa.array(np.repeat(batch.column(c).to_numpy(), lengths)) for c in ("no", "n", "m", "component", "level")]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), *columns, pa.array(place.astype(np.int32))], [x.split()[0] for x in ENTRY.split(", ")])
 
 
 def _verify(percent: int):
@@ -373,16 +343,22 @@ def _verify(percent: int):
 def candidate_pairs(entries: DataFrame, percent: int) -> DataFrame:
     """(a, b) of classes of different components that share as many prefix tokens as the lower of their levels says.
 
-    A list is split into blocks of LIST_CLASSES: one side is dealt to them, the other is sent to each.
+    The tokens that two classes share come before their first meeting, at it, or after it in both: where that
+    leaves too few for a link of their sizes the meeting doesn't count. A list is split into blocks of
+    LIST_CLASSES: one side is dealt to them, the other is sent to each.
     """
     lists = entries.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count(F.lit(1)).alias("held")).filter("first < last")
     lists = materialize(lists.select("token", "held"), "lists")
     met = materialize(join_by_hot_key(entries, lists, "token", "held", max(1, entries.count())).filter("held is not null"), "met")
     blocks = F.ceil(F.col("held") / LIST_CLASSES).cast("int")
-    left = met.select("token", F.pmod(F.xxhash64("no"), blocks).cast("int").alias("block"), *(F.col(c).alias(f"{c}_a") for c in ("no", "n", "component", "level", "least")))
-    right = met.select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *(F.col(c).alias(f"{c}_b") for c in ("no", "n", "component", "level", "least")))
+    columns = [x.split()[0] for x in ENTRY.split(", ")][1:]
+    left = met.select("token", F.pmod(F.xxhash64("no"), blocks).cast("int").alias("block"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = met.select("token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    # what a link of two sizes has to share is mostly more than what either size asks for, and shortens both prefixes
+    shared = F.floor(((F.col("n_a") + F.col("n_b")).cast("bigint") * percent + 99 + percent) / (100 + percent)).cast("int")
     pairs = left.join(right, ["token", "block"]).filter("no_a < no_b and component_a <> component_b")
-    pairs = pairs.filter(F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")).withColumn("level", F.least("level_a", "level_b")).filter("least_a <= level and least_b <= level")
+    pairs = pairs.filter(F.least("place_a", "place_b") + F.least(F.col("m_a") - F.col("place_a"), F.col("m_b") - F.col("place_b")) >= shared)
+    pairs = pairs.withColumn("level", F.least("level_a", "level_b")).filter((F.col("place_a") < F.col("m_a") - shared + F.col("level")) & (F.col("place_b") < F.col("m_b") - shared + F.col("level")))
     counted = pairs.groupBy(F.col("no_a").alias("a"), F.col("no_b").alias("b"), "level").agg(F.count(F.lit(1)).alias("shared"))
     return counted.filter("shared >= level").select("a", "b")
 
@@ -392,7 +368,7 @@ def _links(suspects: DataFrame, percent: int) -> DataFrame:
     seeds = materialize(_seeds(suspects, percent), "seeds")
     known = materialize(connected_components(seeds).withColumnRenamed("node", "no"), "seeded")
     head = F.expr("substring(tokens, 1, 8 * (prefix + level - 1))").alias("tokens")
-    labelled = suspects.select("no", "n", head, "prefix", "level").join(known, "no", "left").withColumn("component", F.coalesce("component", "no"))
+    labelled = suspects.select("no", "n", "m", head, "prefix", "level").join(known, "no", "left").withColumn("component", F.coalesce("component", "no"))
     entries = materialize(labelled.mapInArrow(_entries, ENTRY), "entries")
     pairs = materialize(candidate_pairs(entries, percent), "candidates")
     sides = [suspects.select(F.col("no").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"]
@@ -424,10 +400,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     owners = max(least, -(-shingles // OWNER_SHINGLES))
     bits = min(64, max(1, shingles).bit_length() + SPARE_BITS)
-    shared = source.select("text").mapInArrow(_send(words, owners, bits), MESSAGE).groupBy("owner").applyInArrow(_count(owners), SHARED)
-    suspects = materialize(shared.groupBy("bucket").applyInArrow(_suspects(percent), SUSPECT), "suspects")
-    roots = materialize(_links(suspects, percent).join(suspects.select("no", "class"), "no").select("class", "component"), "roots")
     classes = materialize(narrow.filter("n > 0").groupBy("class").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")), "classes")
+    # copies of a class need not be sent; those with the same id or none are, which does no harm
+    copies = join_by_hot_key(narrow.filter("n > 0 and id is not null"), classes.filter("members > 1"), "class", "members", max(1, total)).filter("id <> first").select(F.col("id").alias("copy"))
+    sent = sized_join(source, materialize(copies, "copies"), F.col("id") == F.col("copy"), "left_anti").select("text")
+    shared = sent.mapInArrow(_send(words, owners, bits), MESSAGE).groupBy("owner").applyInArrow(_count, SHARED)
+    suspects = shared.groupBy("flush").applyInArrow(_suspects(percent), SUSPECT)
+    suspects = materialize(suspects.withColumn("no", F.monotonically_increasing_id()), "suspects")
+    roots = materialize(_links(suspects, percent).join(suspects.select("no", "class"), "no").select("class", "component").distinct(), "roots")
     joined = roots.join(classes, "class")
     least_row = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "class"))
     smallest = joined.groupBy("component").agg(least_row.alias("s")).select("component", F.col("s.first").alias("smallest"), F.col("s.class").alias("keeper"))
@@ -439,17 +419,17 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, percent
     return found.unionByName(wordless)
 
 
-def _with_class(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+def _with_class(docs: DataFrame, text_col: str, words: int, name: str) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [name_bytes(set_name(s)) if len(s) else None for s in batch_sets(batch.column(names.index(text_col)), words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.binary())], [*names, "_class"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.binary())], [*names, name])
         give_back()
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{types}, _class binary")
+    return docs.mapInArrow(run, f"{types}, {name} binary")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -463,8 +443,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     again = materialize(ids.filter("again").select("_id"), "again")
     if not again.limit(1).count():
         return rest
-    repeated = materialize(_with_class(sized_join(docs, again, docs[id_col].eqNullSafe(again["_id"]), "left_semi"), text_col, words), "repeated")
+    name = free_name(docs, "_class")
+    repeated = materialize(_with_class(sized_join(docs, again, docs[id_col].eqNullSafe(again["_id"]), "left_semi"), text_col, words, name), "repeated")
     stay = materialize(result.filter(kept & F.col("class").isNotNull()).join(again.withColumnRenamed("_id", "_a"), F.col("_id").eqNullSafe(F.col("_a")), "left_semi").select("_id", "class").distinct(), "stay")
-    worded = repeated.filter("_class is not null").dropDuplicates([id_col, "_class"])
-    worded = sized_join(worded, stay, worded[id_col].eqNullSafe(stay["_id"]) & (worded["_class"] == stay["class"]), "left_semi")
-    return rest.unionByName(worded.unionByName(repeated.filter("_class is null")).drop("_class"))
+    worded = repeated.filter(F.col(name).isNotNull()).dropDuplicates([id_col, name])
+    worded = sized_join(worded, stay, worded[id_col].eqNullSafe(stay["_id"]) & (worded[name] == stay["class"]), "left_semi")
+    return rest.unionByName(worded.unionByName(repeated.filter(F.col(name).isNull())).drop(name))
