@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinsift.llm.html_text import best_path, extract_pages, main_text, read_page
 from kinsift.llm import media
-from kinsift.llm.media import consensus, describe, find_copies, vector_planes
+from kinsift.llm.media import consensus, describe, descriptor_matches, find_copies, vector_planes
 
 PAGES = "page_id long, url string, html string"
 
@@ -115,14 +115,17 @@ def test_crops_turns_and_edits_are_found(spark):
     assert found[900] == found[901] == found[902] == []
 
 
-def test_blocks_of_queries_give_the_same(spark):
+def test_vectors_defined_cases(spark):
     r = np.random.default_rng(4)
     v = r.normal(size=(40, 64))
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(100 + i, (x + r.normal(0, 0.02, 64)).tolist()) for i, x in enumerate(v)] + [(300, [1.0] * 3), (301, None), (302, [float("nan")] * 64)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    ask = lambda block: {x["vec_id"]: [q["query_id"] for q in x["links"]] for x in find_copies(df, F.col("vec_id") < 40, "vec_id", "embedding", vector_planes, least=4, most_bits=16, block=block).collect()}
-    whole = ask(4096)
-    assert whole == ask(15) and sum(whole[100 + i] == [i] for i in range(40)) >= 36
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(100 + i, (x + r.normal(0, 0.02, 64)).tolist()) for i, x in enumerate(v)] + [(200 + i, v[0].tolist()) for i in range(30)] + [(20, v[1].tolist()), (300, [1.0] * 3), (301, None), (301, None), (302, [float("nan")] * 64), (None, v[2].tolist())]
+    df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<double>, links int")
+    found = find_copies(df, (F.col("vec_id") < 40) | (F.col("vec_id") == 205), "vec_id", "embedding", vector_planes).collect()
+    assert len(found) == len(rows) - 1
+    links = {(x["vec_id"], x["class_id"]): [q["query_id"] for q in x["links"]] for x in found}
+    assert sum(i in links[100 + i, 100 + i] for i in range(40)) >= 38
+    assert all(0 in links[200 + i, 0] for i in range(30)) and 0 not in links[0, 0]
+    assert 1 in links[20, 1] and links[300, 300] == links[301, 301] == links[302, 302] == []
     assert find_copies(df.limit(0), F.lit(True), "vec_id", "embedding", vector_planes).count() == 0
 
 
@@ -133,17 +136,44 @@ def test_consensus_finds_the_turn():
     assert n > 20 and abs(scale - 1) < 1e-6 and min(turn, 360 - turn) < 1e-3
 
 
-def test_no_descriptor_within_the_radius_is_missed():
+def test_recall_of_the_tables(spark):
+    """Copies found through the tables, of those found by comparing every descriptor with every other one."""
     r = np.random.default_rng(6)
-    bits = r.integers(0, 2, (300, 256), np.uint8)
-    near = np.repeat(bits, 3, axis=0)
+    v = r.normal(size=(150, 64))
+    noise = np.repeat([0.02, 0.05, 0.1], 50)[:, None]
+    stack = np.concatenate([v, v + noise * r.normal(size=v.shape)])
+    import pyarrow as pa
+
+    (features,) = [media.Features.joined(list(media._features_of(pa.array(stack.tolist()), vector_planes)))]
+    words = features.parts.view(np.uint64)
+    want = set()
+    for q in range(150):
+        mine, theirs = np.flatnonzero(features.row == q), np.flatnonzero(features.row >= 150)
+        apart = np.bitwise_count(words[mine][:, None] ^ words[theirs][None]).sum(axis=2, dtype=np.int64)
+        for i in range(150, 300):
+            own = features.row[theirs] == i
+            d = apart[:, own]
+            if not d.size:
+                continue
+            a, b = np.nonzero((d == d.min(axis=0)) & (d <= 40))
+            if len(a) >= 8 and consensus(features.take(mine[a]), features.take(theirs[own][b]))[0] >= 8:
+                want.add((q, i))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(stack)], "vec_id long, embedding array<double>")
+    got = {(q["query_id"], x["vec_id"]) for x in find_copies(df, F.col("vec_id") < 150, "vec_id", "embedding", vector_planes).collect() for q in x["links"] if x["vec_id"] >= 150}
+    assert len(want) > 100 and len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_matches_are_within_the_radius(spark):
+    r = np.random.default_rng(7)
+    bits = r.integers(0, 2, (60, 256), np.uint8)
+    near = bits.copy()
     for i, b in enumerate(near):
-        b[r.permutation(256)[: r.integers(0, 60)]] ^= 1
-    features = lambda b: media.Features(np.arange(len(b)), *(np.zeros(len(b), np.float32) for _ in range(4)), np.packbits(b, axis=1).view(np.uint32))
-    tables = media.HammingScan(features(bits))
-    for most in (0, 16, 40, 110, 256):
-        want = np.argwhere((bits[:, None] != near[None]).sum(axis=2) <= most)
-        assert sorted(zip(*tables.matches(features(near), most), strict=True)) == list(map(tuple, want))
+        b[r.permutation(256)[:i]] ^= 1
+    rows = [(c * 100 + i, c == 0, 0, 0.0, 0.0, 1.0, 0.0, *np.packbits(b).view(np.int64).tolist()) for c, side in enumerate((bits, near)) for i, b in enumerate(side)]
+    corners = spark.createDataFrame(rows, "cls long, asked boolean, corner int, x float, y float, scale float, angle float, p0 long, p1 long, p2 long, p3 long")
+    found = {(x["q"], x["i"]): x["apart"] for x in descriptor_matches(corners, 40).collect()}
+    assert all(d <= 40 and (d == i % 100 if q == i % 100 and i >= 100 else True) for (q, i), d in found.items())
+    assert sum((i, 100 + i) in found for i in range(41)) >= 38 and not any((i, 100 + i) in found for i in range(41, 60))
 
 
 def test_small_crops_and_strong_resizes_of_large_images(spark):
