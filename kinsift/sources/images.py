@@ -10,20 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinsift.operators.kernels import planes
+from kinsift.sources.headers import header_facts
 from kinsift.sources.listing import sniff
 
 PLANES = "path string, width int, height int, w int, h int, px binary, thumb binary, tw int, th int, detail array<double>, colour double, state string"
 
 
-def png_cut_off(data: bytes) -> bool:
-    """A PNG without its end."""
-    return data.startswith(b"\x89PNG") and b"IEND" not in data[-16:]
-
-
-def jpeg_cut_off(data: bytes) -> bool:
-    return data.startswith(b"\xff\xd8") and data.rfind(b"\xff\xd9") < 0
-
-
 def read_planes(spark: SparkSession, paths: list[str], work: int = planes.WORKING) -> DataFrame:
     """A row a file: its size, working plane, thumbnail, measures and state: whole, refused (no decoder here) or failed."""
     files = spark.read.format("image").option("dropInvalid", False).load(paths).select("image.*")
@@ -46,9 +38,8 @@ def read_planes(spark: SparkSession, paths: list[str], work: int = planes.WORKIN
 
 
 def states(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, format, state) from the bytes: formats without a decoder here are refused, and still take part in exact sets."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    kind = sniff(F.col("content"))
-    ended = F.when(kind == "png", F.hex(F.expr("right(content, 12)")).contains("49454E44")).when(kind == "jpeg", F.hex("content").contains("FFD9")).otherwise(True)
-    state = F.when(kind.isNull(), "not an image").when(kind.isin("jxl", "heif", "webp", "qoi", "exr", "farbfeld", "tga"), "refused").when(~ended, "damaged").otherwise("whole")
-    return files.select("path", kind.alias("format"), state.alias("state"))
+    """(path, format, state and the facts) from the bytes: formats without a decoder here are refused, and still take part in exact sets."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "content")
+    told = header_facts(files.withColumn("format", sniff(F.col("content"))), "path")
+    state = F.when(F.col("format").isNull(), "not an image").when(F.col("format").isin("jxl", "heif", "webp", "qoi", "exr", "farbfeld", "tga"), "refused").when(F.col("damaged"), "damaged").otherwise("whole")
+    return told.withColumn("state", state)

@@ -9,9 +9,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Names of images by default, and folders that are set aside.
-EXTENSIONS = tuple("jpg jpeg jpe jfif png apng gif webp bmp dib tif tiff jxl heif heic hif avif avifs qoi exr ff farbfeld pnm pbm pgm ppm pam ico cur tga icb vda vst hdr pic mpo jps insp".split())
-SET_ASIDE = ("trash", "trashes", ".trash", ".trashes", "trash-1000", "$recycle.bin", "recycler", "recycled", "#recycle", "@recycle", "@recycler", ".recycle", ".recycler", ".recycle.bin", "lost+found", "found.000", ".thumbnails", ".thumb", "thumbnails", "@eadir", ".@__thumb", "#snapshot", "@snapshot", ".snapshot", ".snapshots", ".zfs")
+# Names of images by default, and folders that a walk passes over, in lower case, with what others of them begin with.
+EXTENSIONS = (
+    "jpg", "jpeg", "jpe", "jfif", "jif", "jfi", "pjpeg", "pjp", "jpg_large", "jpg_orig", "png", "apng", "png_large", "gif", "webp", "bmp", "dib", "tif", "tiff", "avif", "avifs", "heic",
+    "heics", "heif", "hif", "jxl", "ico", "pnm", "pbm", "pgm", "ppm", "pam", "tga", "qoi", "exr", "hdr", "ff",
+)
+SET_ASIDE = (".trash", ".trashes", "$recycle.bin", "recycler", ".thumbnails", "#recycle", "@eadir", "#snapshot", "@recycle", "@__thumb", "@recently-snapshot", "lost+found")
+SET_ASIDE_BEGIN = ".trash-"
 # Heads of image formats, in hex, and where they start.
 SIGNATURES = (
     ("jpeg", 0, "FFD8FF"), ("png", 0, "89504E470D0A1A0A"), ("gif", 0, "474946383761"), ("gif", 0, "474946383961"), ("bmp", 0, "424D"),
@@ -124,10 +128,11 @@ def hidden(path: Column) -> Column:
     return path.rlike(r"(^|/)\.[^/]+/")
 
 
-def set_aside(path: Column) -> Column:
-    """In a folder of deleted files, thumbnails or snapshots."""
+def set_aside(path: Column, places: Iterable[str] = ()) -> Column:
+    """In a folder of deleted files, thumbnails or snapshots: by its name, or one of the places given (a home's own trash and thumbnails, whose names are ordinary)."""
     folders = F.slice(F.split(F.lower(path), "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
-    return F.arrays_overlap(folders, F.array(*map(F.lit, SET_ASIDE)))
+    named = F.exists(folders, lambda f: f.isin(*SET_ASIDE) | f.startswith(SET_ASIDE_BEGIN))
+    return named | excluded(path, places)
 
 
 def extension(path: Column) -> Column:
@@ -146,22 +151,30 @@ def names_an_image(path: Column) -> Column:
 
 
 def sniff(content: Column) -> Column:
-    """Format told by the first bytes, null if none: short signatures must also look like their format."""
-    head = F.hex(F.substring(content.cast("binary"), 1, 64))
-    said = F.lit(None).cast("string")
-    ascii_at = lambda start, n: F.substring(head, 1 + 2 * start, 2 * n)
-    brands = F.array(*[F.hex(F.lit(b)) for b in HEIF_BRANDS])
-    said = F.when((ascii_at(4, 4) == "66747970") & F.array_contains(brands, ascii_at(8, 4)), "heif").otherwise(said)
-    said = F.when((ascii_at(0, 4) == "52494646") & (ascii_at(8, 4) == "57454250"), "webp").otherwise(said)
-    said = F.when(head.rlike("^503[1-7](20|09|0A|0D|23)"), "pnm").otherwise(said)
+    """Format told by the first bytes, null if none or if there are fewer than 12: short signatures must also look like their format."""
+    data = F.substring(content.cast("binary"), 1, 64)
+    head = F.hex(data)
+    at = lambda start, n: F.substring(head, 1 + 2 * start, 2 * n)
+    little = lambda start: F.conv(F.concat(at(start + 1, 1), at(start, 1)), 16, 10).cast("int")
+    # the first brand, and those after the version as far as the box goes
+    size = F.conv(at(0, 4), 16, 10).cast("bigint")
+    listed = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(size >= 20 + 4 * i, F.substring(head, 33 + 8 * i, 8)))
+    brands = F.array_union(F.array(at(8, 4)), listed)
+    looks = {
+        "bmp": at(14, 4).isin("", "0C000000", "28000000", "34000000", "38000000", "40000000", "6C000000", "7C000000") | (F.length(at(14, 4)) < 8),
+        # an entry at least, of no more than 256 planes and bits
+        "ico": (little(4) > 0) & F.coalesce(little(10) <= 256, F.lit(True)) & F.coalesce(little(12) <= 256, F.lit(True)),
+    }
+    # after blanks and comments a digit, or for the last kind a line that begins with one of its fields
+    text = F.decode(data, "ISO-8859-1")
+    number = text.rlike(r"^P[1-6](?:[\t-\r ]|#[^\n\r]*(?:[\n\r]|\z))*(?:[0-9]|\z)")
+    fields = text.rlike(r"^P7(?:\z|\n(?:#[^\n]*\n)*(?:#[^\n]*\z|[\t-\r ]*(?:ENDHDR|HEIGHT|WIDTH|DEPTH|MAXVAL|TUPLTYPE)(?:[\t-\r ]|\z)))")
+    said = F.when(number | fields, "pnm")
+    said = F.when((at(4, 4) == "66747970") & F.arrays_overlap(brands, F.array(*[F.lit(b.encode().hex().upper()) for b in HEIF_BRANDS])), "heif").otherwise(said)
+    said = F.when((at(0, 4) == "52494646") & (at(8, 4) == "57454250"), "webp").otherwise(said)
     for name, start, magic in reversed(SIGNATURES):
-        fits = ascii_at(start, len(magic) // 2) == magic
-        if name == "bmp":  # the header's size is one that there is
-            fits = fits & ascii_at(14, 4).isin("0C000000", "28000000", "34000000", "38000000", "40000000", "6C000000", "7C000000")
-        if name == "ico":
-            fits = fits & (ascii_at(4, 2) != "0000")
-        said = F.when(fits, name).otherwise(said)
-    return said
+        said = F.when((at(start, len(magic) // 2) == magic) & looks.get(name, F.lit(True)), name).otherwise(said)
+    return F.when(F.octet_length(data) >= 12, said)
 
 
 def format_of(path: Column, content: Column) -> Column:
