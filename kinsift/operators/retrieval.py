@@ -45,23 +45,31 @@ def containment(asking: DataFrame, index: DataFrame, keep_zero: bool = False) ->
     return shared.join(mass, "q").select("q", "d", F.when(F.col("mass") > 0, F.col("hits") / F.col("mass")).otherwise(0.0).alias("score"))
 
 
-def rare_words(asking: DataFrame, bar: float) -> DataFrame:
-    """Each asking item's rarest words, as many as leave less than bar of its mass out: who shares none of them cannot reach the bar."""
+def rare_words(asking: DataFrame, part: float) -> DataFrame:
+    """Each asking item's rarest words, as many as leave less than `part` of its mass out; also mass, and rest: what is left out."""
     own = F.col("tf") * F.col("idf") * F.col("idf")
     common_first = Window.partitionBy("item").orderBy("idf", F.col("word").desc())
     everything = Window.partitionBy("item")
-    with_sums = asking.withColumn("_own", own).withColumn("_tail", F.sum("_own").over(common_first.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_mass", F.sum("_own").over(everything))
+    sums = asking.withColumn("_own", own).withColumn("_tail", F.sum("_own").over(common_first.rowsBetween(Window.unboundedPreceding, 0))).withColumn("mass", F.sum("_own").over(everything))
     # a hair below the bar, as sums in another order round differently
-    return with_sums.filter(F.col("_tail") >= F.col("_mass") * (bar - 1e-9)).drop("_own", "_tail", "_mass")
+    bar = F.col("mass") * (part - 1e-9)
+    sums = sums.withColumn("rest", F.coalesce(F.sum(F.when(F.col("_tail") < bar, F.col("_own"))).over(everything), F.lit(0.0)))
+    return sums.filter(F.col("_tail") >= bar).drop("_own", "_tail")
 
 
-def containment_above(asking: DataFrame, index: DataFrame, bar: float) -> DataFrame:
-    """(q, d, score) with score >= bar, exactly: candidates share a rare word of q, and are then scored on all words."""
-    rare = rare_words(asking, bar).select(F.col("item").alias("q"), "word")
-    candidates = rare.join(index.select(F.col("item").alias("d"), "word"), "word").filter("q <> d").select("q", "d").distinct()
+def containment_above(asking: DataFrame, index: DataFrame, bar: float, part: float = 0.6) -> DataFrame:
+    """(q, d, score) with score >= bar, exactly.
+
+    What q's rare words leave out is less than part * bar of its mass. A candidate has to have the rest of the bar
+    in the rare words alone,; candidates are then scored on all words. Frequent
+    words are in nobody's rare words, so no list of the join is long.
+    """
+    rare = rare_words(asking, bar * part).select(F.col("item").alias("q"), "word", F.col("tf").alias("tf_q"), "idf", (bar * F.col("mass") - F.col("rest") - 1e-9 * F.col("mass")).alias("need"))
     q = asking.select(F.col("item").alias("q"), "word", F.col("tf").alias("tf_q"), "idf")
     d = index.select(F.col("item").alias("d"), "word", F.col("tf").alias("tf_d"))
-    hits = candidates.join(q, "q").join(d, ["d", "word"]).groupBy("q", "d").agg(F.sum(F.least("tf_q", "tf_d") * F.col("idf") * F.col("idf")).alias("hits"))
+    both = F.least("tf_q", "tf_d") * F.col("idf") * F.col("idf")
+    candidates = rare.join(d, "word").filter("q <> d").groupBy("q", "d").agg(F.sum(both).alias("some"), F.first("need").alias("need")).filter("some >= need").select("q", "d")
+    hits = candidates.join(q, "q").join(d, ["d", "word"]).groupBy("q", "d").agg(F.sum(both).alias("hits"))
     mass = idf_mass(asking).select(F.col("item").alias("q"), "mass")
     scored = hits.join(mass, "q").select("q", "d", F.when(F.col("mass") > 0, F.col("hits") / F.col("mass")).otherwise(0.0).alias("score"))
     return scored.filter(F.round("score", 6) >= bar)

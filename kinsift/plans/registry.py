@@ -12,7 +12,8 @@ from kinsift.functions import scalars as sc
 from kinsift.operators import decide, evaluate, exact, graph, retrieval, vectors, verdicts
 from kinsift.operators.components import connected_components
 from kinsift.plans.lineage import materialize
-from kinsift.sources import listing
+from kinsift.sources import headers, listing
+from kinsift.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,10 +32,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def joined(array: str | Column) -> Column:
     return F.array_join(F.transform(array, lambda x: x.cast("string")), ",")
 
@@ -675,20 +672,25 @@ def extension_filter(spark, d):
     return found.filter(listing.accepts(F.col("path"), ("jpg", ".jpeg", "PNG"))).select("s_suppkey")
 
 
-FOLDERS = "f AS (SELECT c_custkey, (['x', '.git', 'Trash', 'lost+found', '.thumbnails', 'keep'])[c_custkey % 6 + 1] || '/' || c_name AS path FROM customer)"
+#: Folders and whether their files are passed over, as a drive and a network share carry them; those of an ordinary name are folders like any.
+ON_A_DRIVE = (
+    ("x", False), (".git", False), ("Trash", False), ("thumbnails", False), ("trash-talk", False), (".Trash-1000", True), (".Trash", True), ("$RECYCLE.BIN", True), (".Trashes", True), (".thumbnails", True),
+    ("#recycle", True), ("@eaDir", True), ("#snapshot", True), ("@Recycle", True), ("@__thumb", True), ("@Recently-Snapshot", True), ("lost+found", True), ("RECYCLER", True), (".zfs", False), ("recycled", False),
+)
+FOLDERS = f"f AS (SELECT c_custkey, c_custkey % {len(ON_A_DRIVE)} AS k, ([{', '.join(repr(n) for n, _ in ON_A_DRIVE)}])[c_custkey % {len(ON_A_DRIVE)} + 1] || '/' || c_name AS path FROM customer)"
 
 
 def _folders(spark: SparkSession, d: str) -> DataFrame:
-    folder = F.element_at(F.array(*map(F.lit, ("x", ".git", "Trash", "lost+found", ".thumbnails", "keep"))), (F.col("c_custkey") % 6 + 1).cast("int"))
+    folder = F.element_at(F.array(*(F.lit(n) for n, _ in ON_A_DRIVE)), (F.col("c_custkey") % len(ON_A_DRIVE) + 1).cast("int"))
     return table(spark, d, "customer").select("c_custkey", F.concat_ws("/", folder, "c_name").alias("path"))
 
 
-@query(f"WITH {FOLDERS} SELECT c_custkey FROM f WHERE path NOT LIKE '.git/%' AND path NOT LIKE '.thumbnails/%'")
+@query(f"WITH {FOLDERS} SELECT c_custkey FROM f WHERE path NOT LIKE '.%'")
 def hidden_filter(spark, d):
     return _folders(spark, d).filter(~listing.hidden(F.col("path"))).select("c_custkey")
 
 
-@query(f"WITH {FOLDERS} SELECT c_custkey FROM f WHERE split_part(path, '/', 1) NOT IN ('Trash', 'lost+found', '.thumbnails')")
+@query(f"WITH {FOLDERS} SELECT c_custkey FROM f WHERE k IN ({', '.join(str(i) for i, (_, aside) in enumerate(ON_A_DRIVE) if not aside)})")
 def set_aside_filter(spark, d):
     return _folders(spark, d).filter(~listing.set_aside(F.col("path"))).select("c_custkey")
 
@@ -699,15 +701,48 @@ def identity_dedup(spark, d):
     return listing.identity_dedup(files, ["dev", "ino"]).select("page_id")
 
 
-HEADS = ("FFD8FFE0", "89504E470D0A1A0A00", "474946383961", "424D00000000000000000000000028000000", "52494646000000005745425000", "0000001C6674797061766966", "50360A31", "68656C6C6F", "")
+#: Heads of files, and the format that each tells: text that begins like a picture, and heads too short to say, are none.
+HEADS = (
+    ("FFD8FFE000104A4649460001", "jpeg"), ("89504E470D0A1A0A0000000D", "png"), ("474946383961010001000000", "gif"), ("424D00000000000000000000000028000000", "bmp"), ("424D572073657276696365207265636F7264", None),
+    ("52494646000000005745425000", "webp"), ("0000001C6674797061766966", "heif"), ("000000186674797069736F6D000000006865696331323334", "heif"), ("000000146674797069736F6D000000006865696331323334", "heif"), ("000000106674797069736F6D000000006865696331323334", None),
+    ("50360A2320630A3120312031", "pnm"), ("5033206E6F746573206F6620", None), ("50370A57494454482031320A", "pnm"), ("50370A576964746820313220", None), ("000001000100101000000100", "ico"), ("000001000000101000000100", None),
+    ("68656C6C6F20776F726C64202E", None), ("FFD8FF", None), ("", None),
+)
 
 
-@query(f"SELECT p_partkey, (['jpeg', 'png', 'gif', 'bmp', 'webp', 'heif', 'pnm', NULL, NULL])[p_partkey % {len(HEADS)} + 1] AS format FROM part")
+@query(f"SELECT p_partkey, ([{', '.join('NULL' if f is None else repr(f) for _, f in HEADS)}])[p_partkey % {len(HEADS)} + 1] AS format FROM part")
 def sniff_format(spark, d):
-    content = F.unhex(F.element_at(F.array(*map(F.lit, HEADS)), (F.col("p_partkey") % len(HEADS) + 1).cast("int")))
+    content = F.unhex(F.element_at(F.array(*(F.lit(h) for h, _ in HEADS)), (F.col("p_partkey") % len(HEADS) + 1).cast("int")))
     return table(spark, d, "part").select("p_partkey", listing.sniff(content).alias("format"))
 
 
+#: Heads of small files, and what they say: (hex, format, width, height, turned, damaged, several, lossless, deep).
+PNG_OPEN, PNG_END = "89504E470D0A1A0A0000000D49484452", "0000000049454E4400000000"
+FILES = (
+    (PNG_OPEN + "00000040" + "00000020" + "080200000000000000" + PNG_END[:-8] + "AE426082", "png", 64, 32, False, False, False, True, False),
+    (PNG_OPEN + "00000040" + "00000020" + "100300000000000000" + "000010", "png", 64, 32, False, True, False, False, True),
+    ("FFD8FFC0000B0C00100020010111" + "00FFDA000200FFD9", "jpeg", 32, 16, False, False, False, False, True),
+    ("FFD8FFE1001E457869660000" + "4D4D002A00000008" + "0001" + "0112000300000001" + "00060000" + "FFC0000B080010002001011100" + "FFDA0002AA", "jpeg", 16, 32, True, True, False, False, False),
+    ("FFD8FFC0000B0800100020010111" + "00FFDA000200FFD9FFD8FF", "jpeg", 32, 16, False, False, True, False, False),
+    ("474946383961" + "01000100000000" + "2C00000000010001000002" + "024C0100" + "2C00000000010001000002" + "024C01003B", "gif", None, None, False, False, True, False, False),
+    ("5249464600000000574542505650384C00000000", "webp", None, None, False, False, False, True, False),
+    ("50360A322032203635353335", "pnm", None, None, False, False, False, True, True),
+    ("68656C6C6F20776F726C64", None, None, None, None, None, None, None, None),
+)
+
+
+def _said(column: int, kind: str) -> str:
+    return f"(CAST([{', '.join('NULL' if f[column] is None else repr(f[column]) for f in FILES)}] AS {kind}[]))[p_partkey % {len(FILES)} + 1]"
+
+
+@query(f"""SELECT p_partkey, {_said(1, "VARCHAR")} AS format, {_said(2, "INT")} AS width, {_said(3, "INT")} AS height, {_said(4, "BOOLEAN")} AS turned, {_said(5, "BOOLEAN")} AS damaged, {_said(6, "BOOLEAN")} AS several,
+    {_said(7, "BOOLEAN")} AS lossless, {_said(8, "BOOLEAN")} AS deep FROM part""")
+def header_facts(spark, d):
+    content = F.unhex(F.element_at(F.array(*(F.lit(f[0]) for f in FILES)), (F.col("p_partkey") % len(FILES) + 1).cast("int")))
+    files = table(spark, d, "part").select("p_partkey", content.alias("content")).withColumn("format", listing.sniff(F.col("content")))
+    return headers.header_facts(files, "p_partkey").select("p_partkey", "format", "width", "height", "turned", "damaged", "several", "lossless", "deep")
+
+
 @query("""WITH f AS (SELECT page_id, CASE WHEN length(html) < 2000 THEN 'empty' WHEN page_id % 4 = 0 THEN 'not an image' WHEN page_id % 4 = 1 THEN 'other file' END AS category, url FROM pages), g AS (SELECT category, url, row_number() OVER (PARTITION BY category ORDER BY url, page_id) AS n FROM f WHERE category IS NOT NULL)
     SELECT category, CASE WHEN category = 'other file' THEN 'skip' ELSE 'problem' END AS weight, count(*) AS n, string_agg(CASE WHEN n <= 10 THEN url END, '|' ORDER BY n) AS samples FROM g GROUP BY 1""")
 def problem_tally(spark, d):
@@ -743,20 +778,22 @@ def json_props(spark, d):
 
 # ---- evaluation
 
-RECTS = """r AS (SELECT l_orderkey, l_linenumber, (l_quantity % 5) / 10 AS x0, l_tax AS y0, (l_quantity % 5) / 10 + 0.4 + l_discount * 2 AS x1, l_tax + 0.5 + l_discount AS y1, l_returnflag = 'R' AS scrambled FROM lineitem),
-    q AS (SELECT a.l_orderkey, a.l_linenumber AS la, b.l_linenumber AS lb, a.scrambled OR b.scrambled AS s,
+RECTS = """r AS (SELECT l_orderkey, l_linenumber, (l_quantity % 5) / 10 AS x0, l_tax AS y0, (l_quantity % 5) / 10 + 0.4 + l_discount * 2 AS x1, l_tax + 0.5 + l_discount AS y1, CASE WHEN l_returnflag = 'R' THEN l_linestatus END AS scramble, 0.5 + l_quantity / 100 AS coverage FROM lineitem),
+    q AS (SELECT a.l_orderkey, a.l_linenumber AS la, b.l_linenumber AS lb, a.scramble IS DISTINCT FROM b.scramble AS s, least(a.coverage, b.coverage) / greatest(a.coverage, b.coverage) AS c,
         greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ab FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber),
-    t AS (SELECT l_orderkey, la, lb, CASE WHEN s THEN 'DIFFERENT' WHEN i / (aa + ab - i) >= 0.95 THEN 'SAME' WHEN greatest(i / aa, i / ab) >= 0.95 THEN 'CROP' WHEN i > 0 THEN 'PARTIAL' ELSE 'DIFFERENT' END AS relation, i / (aa + ab - i) AS iou FROM q)"""
+    t AS (SELECT l_orderkey, la, lb, CASE WHEN s OR i <= 0 THEN 'DIFFERENT' WHEN i / (aa + ab - i) >= 0.95 THEN CASE WHEN c < 0.9 THEN 'CROP' ELSE 'SAME' END WHEN greatest(i / aa, i / ab) >= 0.95 THEN 'CROP' ELSE 'PARTIAL' END AS relation, CASE WHEN s THEN 0 ELSE i / (aa + ab - i) END AS iou FROM q)"""
 
 
 def _relations(spark: SparkSession, d: str) -> DataFrame:
     x0, y0 = (F.col("l_quantity") % 5) / 10, F.col("l_tax")
-    r = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", x0.alias("x0"), y0.alias("y0"), (x0 + 0.4 + F.col("l_discount") * 2).alias("x1"), (y0 + 0.5 + F.col("l_discount")).alias("y1"), (F.col("l_returnflag") == "R").alias("scrambled"))
+    r = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", x0.alias("x0"), y0.alias("y0"), (x0 + 0.4 + F.col("l_discount") * 2).alias("x1"), (y0 + 0.5 + F.col("l_discount")).alias("y1"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_linestatus")).alias("scramble"), (0.5 + F.col("l_quantity") / 100).alias("coverage"),
+    )
     a, b = (r.select("l_orderkey", *[F.col(c).alias(f"{c}_{s}") for c in r.columns if c != "l_orderkey"]) for s in "ab")
     met = a.join(b, "l_orderkey").filter("l_linenumber_a < l_linenumber_b")
-    iou, ab, ba = evaluate.rectangle_relation(*[tuple(F.col(f"{c}_{s}") for c in ("x0", "y0", "x1", "y1")) for s in "ab"])
-    relation = evaluate.pair_relation(iou, ab, ba, F.col("scrambled_a") | F.col("scrambled_b"), F.lit(1.0))
-    return met.select("l_orderkey", F.col("l_linenumber_a").alias("la"), F.col("l_linenumber_b").alias("lb"), relation.alias("relation"), iou.alias("iou"))
+    told = evaluate.relations(met, tuple(f"{c}_a" for c in ("x0", "y0", "x1", "y1")), tuple(f"{c}_b" for c in ("x0", "y0", "x1", "y1")), ("scramble_a", "scramble_b"), ("coverage_a", "coverage_b"))
+    return told.select("l_orderkey", F.col("l_linenumber_a").alias("la"), F.col("l_linenumber_b").alias("lb"), "relation", "iou")
 
 
 @query(f"WITH {RECTS} SELECT l_orderkey, la, lb, relation, round(iou, 6) AS iou FROM t")
