@@ -15,7 +15,7 @@ from kinsift.llm.jaccard import drop_near_duplicates
 from kinsift.llm.langid import UNDETERMINED, fit_filters, held_out, identify
 from kinsift.llm.mixing import length_weight, mixed_documents
 from kinsift.llm.packing import pack_documents
-from kinsift.plans.lineage import materialize
+from kinsift.plans.lineage import kept, scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,5 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the documents table; each stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        # what a stage has written on its way goes; its result stays for the next
+        with scratch(spark) as made:
+            docs = kept(stage(spark, docs, sf_dir), name, made)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinsift.plans.running import running_sum
+
 PIECE = 16 << 10
 
 
@@ -105,5 +107,5 @@ def best_of(verdicts: DataFrame, keys: list[str], standing: str = "standing", po
 def name_ranks(items: DataFrame, name: str) -> DataFrame:
     """Competition rank of names, from 0: how many items have a smaller name. Ranked among distinct names with their counts, which are fewer than the items."""
     counts = items.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return items.join(counts.select(name, before.alias("name_rank")), name)
+    ranks = running_sum(counts, [F.col(name)], F.col("_n"), "_up_to").select(name, (F.col("_up_to") - F.col("_n")).alias("name_rank"))
+    return items.join(ranks, name)

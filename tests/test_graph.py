@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinsift.operators import graph
 from kinsift.operators.components import connected_components
+from kinsift.plans import running
 
 TWO_FAMILIES = [(1, 2), (2, 3), (1, 3), (3, 10), (10, 11), (11, 12), (10, 12), (20, 21)]
 
@@ -81,3 +83,31 @@ def test_keeper_chain_ends_where_a_file_stays_and_loops_end_nowhere(spark):
     rows = [(1, "DELETE", 2), (2, "DELETE", 3), (3, "KEEP", None), (7, "DELETE", 8), (8, "DELETE", 7), (9, "DELETE", None)]
     found = {r["item"]: r["kept"] for r in graph.keeper_chain(spark.createDataFrame(rows, "item long, action string, keeper long")).collect()}
     assert found == {1: 3, 2: 3, 7: None, 8: None, 9: None}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_election_equals_counting_every_time(seed):
+    r = random.Random(seed)
+    pairs = [(r.randrange(30), r.randrange(30)) for _ in range(50)]
+    better = {i: r.randrange(4) for i in range(30)}
+    around = graph.Neighbours(pairs)
+    waiting, want = set(around), []
+    while waiting:
+        stands_for = {v: len(near & waiting) + (v in waiting) for v, near in around.items()}
+        head = min(around, key=lambda v: (-stands_for[v], -better[v], v))
+        want.append((head, sorted(around[head] | {head})))
+        waiting -= around[head] | {head}
+    assert graph.elect(pairs, better) == want
+
+
+def test_running_sums_over_ranges(spark):
+    r = random.Random(1)
+    rows = [(i, r.randrange(50), r.randrange(9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, size long, value long").repartition(7)
+    found = {x["id"]: (x["up_to"], x["n"]) for x in running.numbered(running.running_sum(df, [running.Down(F.col("size")), F.col("id")], F.col("value"), "up_to"), [F.col("id")], "n").collect()}
+    total, want = 0, {}
+    for i, _, value in sorted(rows, key=lambda x: (-x[1], x[0])):
+        total += value
+        want[i] = total
+    assert found == {i: (want[i], i + 1) for i in range(3000)}
+    assert running.numbered(df.limit(0), [F.col("id")], "n").count() == 0

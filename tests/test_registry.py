@@ -4,10 +4,10 @@ import duckdb
 import pandas as pd
 import pytest
 
+from kinsift.operators import graph
 from kinsift.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"bridges", "shared_parts", "admission", "group_membership", "incremental_ingest"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(said(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, sf, name):
     got = registry.QUERIES[name](spark, sf).toPandas()
     if name in registry.ORACLES:
@@ -34,3 +34,43 @@ def test_query(spark, duck, sf, name):
         assert rows(got) == rows(want)
     else:
         assert len(got)
+
+
+@pytest.fixture(scope="module")
+def document_pairs(duck):
+    """(a, b, score, other) from SQL: the better score of a pair, and the other if it reaches the bar too."""
+    found = duck.sql(f"WITH {registry.SELF} SELECT least(q, d) AS a, greatest(q, d) AS b, max(score) AS score, min(score) AS other FROM scored WHERE score >= 0.5 GROUP BY ALL").fetchall()
+    assert len(found) > 20
+    return found
+
+
+def test_group_queries_equal_their_rules_on_pairs_from_sql(spark, duck, sf, document_pairs):
+    """The rules themselves are held against hand-built cases in test_graph: here it is what the queries feed them with."""
+    pairs = [p[:2] for p in document_pairs]
+    rank = dict(duck.sql("SELECT doc_id, n_chars FROM documents").fetchall())
+    elected = graph.elect(pairs, rank)
+    groups = {(r["representative"], r["member"]) for r in registry.groups(spark, sf).collect()}
+    assert groups == {(head, m) for head, members in elected for m in members}
+    of = {}
+    for head, m in groups:
+        of.setdefault(m, []).append(head)
+    assert {r["member"]: r["groups"] for r in registry.group_membership(spark, sf).collect()} == {m: ",".join(map(str, sorted(heads))) for m, heads in of.items()}
+    clean = [p[:2] for p in document_pairs if p[2] >= 0.8]
+    alone = {e for e, side in graph.cut_edges(clean).items() if side >= 2}
+    assert {(r["a"], r["b"]): r["clean"] for r in registry.bridges(spark, sf).collect()} == {p[:2]: p[2] >= 0.8 and p[:2] not in alone for p in document_pairs}
+    rows = [(a, b, score >= 0.8, int(score * 100 + 1e-9), score) for a, b, score, _ in document_pairs]
+    cluster, weak = graph.admit_edges(rows)
+    admitted = {(r["a"], r["b"]): r["admitted"] for r in registry.admission(spark, sf).collect()}
+    assert set(admitted) == set(pairs) and sum(admitted[r[:2]] != (r[2] or r[:2] in weak) for r in rows) == 0
+    parts = {(r["a"], r["b"]): r["clean"] for r in registry.shared_parts(spark, sf).collect()}
+    assert set(parts) == set(pairs) and all(c <= (s >= 0.8) for (a, b, s, _), c in zip(document_pairs, (parts[p] for p in pairs), strict=True))
+
+
+def test_colours_equal_a_plain_walk(spark, duck, sf):
+    want = {}
+    for brand, in duck.sql("SELECT DISTINCT p_brand FROM part").fetchall():
+        heads = []
+        for key, price in duck.execute("SELECT p_partkey, p_retailprice / 100 FROM part WHERE p_brand = ? ORDER BY p_partkey", [brand]).fetchall():
+            want[key] = next((h for h, p in heads if abs(p - price) <= 1.5), key)
+            heads += [(key, price)] if want[key] == key else []
+    assert {r["p_partkey"]: r["colour_head"] for r in registry.colour_heads(spark, sf).collect()} == want
