@@ -857,3 +857,68 @@ def incremental_ingest(spark, d):
     done = ingest(arrivals(spark, f"{base}/inbox", docs.schema, 10_000), library, f"{base}/answers", f"{base}/checkpoint", "doc_id", "text")
     done.awaitTermination()
     return spark.read.parquet(f"{base}/answers").select("item", "verdict", "of")
+
+
+# ---- pictures
+
+
+def _drawn(seed: int, height: int = 192, width: int = 256):
+    """A picture of rectangles with a little noise, the same for the same seed."""
+    import numpy as np
+
+    from kinsift.operators.kernels import planes
+
+    r = np.random.default_rng(seed)
+    a = np.full((height, width), 90.0)
+    for _ in range(90):
+        y, x, h, w = r.integers(0, height), r.integers(0, width), r.integers(4, 45), r.integers(4, 45)
+        a[y : y + h, x : x + w] = r.integers(0, 255)
+    return planes.blur(a, 0.7) + r.normal(0, 1, a.shape)
+
+
+def _png(plane) -> bytes:
+    import struct
+    import zlib
+
+    import numpy as np
+
+    h, w = plane.shape
+    rows = b"".join(b"\x00" + row.tobytes() for row in np.clip(np.rint(plane), 0, 255).astype(np.uint8))
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def drawn_pictures(spark: SparkSession, d: str) -> str:
+    """Writes a family of PNG files for each nation, to the shared folder, by Spark: a picture, a copy, a part of it, and it at half its size."""
+    from kinsift.operators.kernels import planes
+    from kinsift.plans.lineage import shared_path
+
+    def draw(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for key in batch["n_nationkey"]:
+                one = _drawn(int(key))
+                for name, plane in (("1", one), ("2", one), ("3", one[12:180, 16:240]), ("4", planes.resize_area(one, 96, 128))):
+                    rows.append((int(key), name, _png(plane)))
+            yield pd.DataFrame(rows, columns=["n_nationkey", "variant", "value"])
+
+    folder = shared_path(spark, "drawn")
+    # a folder a picture; the text writer puts bytes out as they are, and a byte after them, past the picture's end
+    drawn = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey").repartition(25).mapInPandas(draw, "n_nationkey int, variant string, value binary")
+    drawn.withColumn("value", F.col("value").cast("string")).write.option("lineSep", "\0").partitionBy("n_nationkey", "variant").text(folder)
+    return folder
+
+
+@query("""SELECT n_nationkey, variant, CASE variant WHEN '1' THEN 'KEEP' ELSE 'DELETE' END AS action, CASE WHEN variant <> '1' THEN '1' END AS kept, 'whole' AS state
+    FROM nation, (SELECT unnest(['1', '2', '3', '4']) AS variant)""")
+def picture_scan(spark, d):
+    """Of a picture, its copy, a part and a reduction the picture stays, and each other goes for it."""
+    from kinsift.plans.engine import Options
+    from kinsift.plans.pictures import scan_pictures
+
+    found = scan_pictures(spark, [drawn_pictures(spark, d)], Options(extensions=("txt",), candidates=8))
+    part = lambda column, name: F.regexp_extract(column, f"{name}=([0-9]+)", 1)
+    rows = found["files"].select(F.col("path").alias("item"), "state").join(found["actions"], "item", "left")
+    return rows.select(part("item", "n_nationkey").cast("int").alias("n_nationkey"), part("item", "variant").alias("variant"), "action", F.when(F.col("kept").isNotNull(), part("kept", "variant")).alias("kept"), "state")

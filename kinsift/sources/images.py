@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ def walked_files(spark: SparkSession, roots: list[str], options) -> DataFrame:
         raise ValueError("Spark's file sources pass over names that begin with a dot: hidden folders can't be asked here")
     files = list_files(spark, roots, recursive=True).select(plain_path(F.col("path")).alias("path"), "length")
     below = F.col("path")
-    for root in sorted((r.rstrip("/") for r in roots), key=len):
+    for root in sorted((re.sub("^file:/+", "/", r).rstrip("/") for r in roots), key=len):
         below = F.when(F.col("path").startswith(root + "/"), F.expr(f"substring(path, {len(root) + 2})")).otherwise(below)
     keep = accepts(F.col("path"), options.extensions or EXTENSIONS) & ~set_aside(below)
     if not options.recursive:
