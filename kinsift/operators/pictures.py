@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinsift.operators import keep
 from kinsift.operators.kernels import features
-from kinsift.operators.verdicts import Bars, frames
+from kinsift.operators.verdicts import Bars, gate
 from kinsift.plans.lineage import materialize
 
 KEYPOINTS = "x array<float>, y array<float>, sigma array<float>, angle array<float>, descriptor binary"
@@ -130,14 +130,9 @@ def fits(pairs: DataFrame, worded: DataFrame) -> DataFrame:
     return met.mapInPandas(run, FIT)
 
 
-def gated(fit: DataFrame, bars: Bars = Bars()) -> DataFrame:
-    """Pairs whose points and frames make their pixels worth reading; a whole frame on a whole frame needs fewer points."""
-    return fit.filter(frames(bars) & ((F.col("n_in") >= bars.points) | (F.col("framed") & (F.col("n_in") >= bars.points_floor))))
-
-
 def verify(pairs: DataFrame, worded: DataFrame, planes: DataFrame, bars: Bars = Bars()) -> DataFrame:
     """FIT and PIXELS of the pairs that pass the gate: only those meet their planes (path, w, h, px)."""
-    near = materialize(gated(fits(pairs, worded), bars), "gated")
+    near = materialize(fits(pairs, worded).filter(gate(bars)), "gated")
     a = planes.select(F.col("path").alias("a"), F.col("w").alias("a_w"), F.col("h").alias("a_h"), F.col("px").alias("a_px"))
     b = planes.select(F.col("path").alias("b"), F.col("w").alias("b_w"), F.col("h").alias("b_h"), F.col("px").alias("b_px"))
     met = near.join(a, "a").join(b, "b")

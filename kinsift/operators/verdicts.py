@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.functions.geometry import affine, axis_scales, inverse
+from kinsift.functions.geometry import affine, axis_scales, inverse, linear_scale
 
 # Standings in order, so that >= compares them.
 REJECTED, CORROBORATING, ANCHOR, CLEAN = range(4)
@@ -47,6 +47,50 @@ def standing(bars: Bars = Bars()) -> Column:
     )
 
 
+def gate(bars: Bars = Bars()) -> Column:
+    """What a pair needs before its pixels are worth reading: frames, and points, fewer for a whole frame on a whole frame."""
+    return frames(bars) & ((F.col("n_in") >= bars.points) | (F.col("framed") & (F.col("n_in") >= bars.points_floor)))
+
+
+def speaks(a_side: Column, b_side: Column) -> Column:
+    """Whether a pair is asked about at all: one of two library files is not."""
+    return ~((a_side == "library") & (b_side == "library"))
+
+
+def asks_first(side: Column) -> Column:
+    """The scanned ask before the library does."""
+    return side != "library"
+
+
+def perfect(n: Column) -> dict[str, Column]:
+    """The verdict on two files of one working plane, without a look: the identity, with all n keypoints aligned and every block agreeing."""
+    ones = {c: F.lit(1.0) for c in ("m0", "m4", "ov_a", "ov_b", "scale", "blk", "blk_min", "ncc")}
+    return ones | {c: F.lit(0.0) for c in ("m1", "m2", "m3", "m5", "rot")} | {"n_in": n, "n_match": n, "blk_n": F.lit(1), "centred": F.lit(True), "framed": F.lit(True)}
+
+
+def distinct_points(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys and n_in: places of a, to half a pixel, that the matches (x_a, y_a, inlier) have; a place with several angles counts once."""
+    half = lambda c: (F.col(c) * 2).cast("int")
+    return matches.groupBy(*keys).agg(F.countDistinct(F.when(F.col("inlier"), F.struct(half("x_a").alias("x"), half("y_a").alias("y")))).alias("n_in"))
+
+
+def size_offset(matches: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys and size_offset: the upper median, in octaves, of how much larger b's inlying keypoints are than a's carried by the map; 0 without any."""
+    off = F.when(F.col("inlier"), F.log2(F.col("sigma_b") / (F.greatest("sigma_a", F.lit(1e-6)) * F.greatest("scale", F.lit(1e-12)))))
+    return matches.withColumn("_off", off).groupBy(*keys).agg(F.coalesce(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _off DESC)"), F.lit(0.0)).alias("size_offset"))
+
+
+def encloses_centre(keypoints: DataFrame, inliers: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys and centred: whether, in a's frame or in b's, the inliers' box holds the mean of the keypoints that the map puts into the other frame.
+
+    keypoints is keys, side (a or b), x, y and inside; inliers is keys, side, x and y.
+    """
+    means = keypoints.filter("inside").groupBy(*keys, "side").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    boxes = inliers.groupBy(*keys, "side").agg(*(f(c).alias(f"{name}_{c}") for c in ("x", "y") for f, name in ((F.min, "low"), (F.max, "high"))))
+    holds = F.col("mx").between(F.col("low_x"), F.col("high_x")) & F.col("my").between(F.col("low_y"), F.col("high_y"))
+    return boxes.join(means, [*keys, "side"], "left").groupBy(*keys).agg(F.max(F.coalesce(holds, F.lit(False))).alias("centred"))
+
+
 def composed(bars: Bars = Bars()) -> Column:
     """Whether a pair put together from two others stands: its frames and its pixels have to."""
     return frames(bars) & (F.col("blk") >= bars.correlation)
@@ -56,7 +100,7 @@ def reversed_verdict(verdicts: DataFrame) -> DataFrame:
     """Verdicts read from the other end; those whose map has no inverse go."""
     back = inverse(affine())
     changed = {f"m{i}": c for i, c in enumerate(back)}
-    changed |= {"a": F.col("b"), "b": F.col("a"), "ov_a": F.col("ov_b"), "ov_b": F.col("ov_a")}
+    changed |= {"a": F.col("b"), "b": F.col("a"), "ov_a": F.col("ov_b"), "ov_b": F.col("ov_a"), "lo": 1 / F.col("hi"), "hi": 1 / F.col("lo"), "scale": linear_scale(back), "rot": F.degrees(F.atan2(back[3], back[0]))}
     columns = [changed.get(c, F.col(c)).alias(c) for c in verdicts.columns]
     return verdicts.select(*columns).filter("m0 is not null")
 

@@ -464,10 +464,70 @@ def block_correlation(spark, d):
     return verdicts.block_correlation(samples, ["l_suppkey"], "l_linenumber").select("l_suppkey", F.round("blk", 6).alias("blk"), "blk_n", F.round("blk_min", 6).alias("blk_min"))
 
 
-@query(f"""WITH {MAPS} SELECT p_partkey AS b, p_partkey + 1 AS a, round(m4 / (m0 * m4 - m1 * m3), 6) AS m0, round(-m1 / (m0 * m4 - m1 * m3), 6) + 0.0 AS m1, ah AS ov_a, aw AS ov_b FROM m WHERE abs(m0 * m4 - m1 * m3) >= 1e-12""")
+@query(f"""WITH {MAPS} SELECT p_partkey AS b, p_partkey + 1 AS a, round(m4 / (m0 * m4 - m1 * m3), 6) AS m0, round(-m1 / (m0 * m4 - m1 * m3), 6) + 0.0 AS m1, ah AS ov_a, aw AS ov_b, round(1 / bh, 6) AS lo, round(1 / bw, 6) AS hi, round(1 / sqrt(abs(m0 * m4 - m1 * m3)), 6) AS scale FROM m WHERE abs(m0 * m4 - m1 * m3) >= 1e-12""")
 def reversed_verdicts(spark, d):
-    rows = maps(spark, d).select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"), *[f"m{i}" for i in range(6)], F.col("aw").alias("ov_a"), F.col("ah").alias("ov_b"))
-    return verdicts.reversed_verdict(rows).select("a", "b", F.round("m0", 6).alias("m0"), (F.round("m1", 6) + 0.0).alias("m1"), "ov_a", "ov_b")
+    rows = maps(spark, d).select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b"), *[f"m{i}" for i in range(6)], F.col("aw").alias("ov_a"), F.col("ah").alias("ov_b"), F.col("bw").alias("lo"), F.col("bh").alias("hi"), F.lit(0.0).alias("scale"))
+    return verdicts.reversed_verdict(rows).select("a", "b", F.round("m0", 6).alias("m0"), (F.round("m1", 6) + 0.0).alias("m1"), "ov_a", "ov_b", *(F.round(c, 6).alias(c) for c in ("lo", "hi", "scale")))
+
+
+@query(f"""WITH {CLAIMS} SELECT l_orderkey, l_linenumber, {FRAMED} AND (n_in >= 5 OR (framed AND n_in >= 3)) AS gate, NOT (l_linenumber % 3 = 0 AND l_linenumber % 2 = 0) AS speaks, l_linenumber % 3 <> 0 AS asks FROM v""")
+def pixel_gate(spark, d):
+    n = F.col("l_linenumber")
+    side = lambda k: F.when(n % k == 0, "library").otherwise("scan")
+    return claims(spark, d).select("l_orderkey", n, verdicts.gate().alias("gate"), verdicts.speaks(side(3), side(2)).alias("speaks"), verdicts.asks_first(side(3)).alias("asks"))
+
+
+@query("SELECT s_suppkey AS n, s_suppkey AS n_in, 1.0 AS m0, 0.0 AS m1, 1.0 AS ov_b, 1.0 AS blk_min, true AS centred, s_suppkey >= 5 AS counts FROM supplier")
+def perfect_verdicts(spark, d):
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("n"))
+    said = rows.withColumns(verdicts.perfect(F.col("n"))).withColumns({"blk": F.lit(1.0)})
+    return said.select("n", "n_in", "m0", "m1", "ov_b", "blk_min", "centred", ((verdicts.standing() == verdicts.CLEAN) & verdicts.gate()).alias("counts"))
+
+
+MATCHES = "m AS (SELECT l_suppkey, l_quantity AS x, l_discount * 40 AS y, l_linenumber <= 4 AS inlier, 1 + l_tax * 10 AS sigma_a, 1 + l_discount * 20 AS sigma_b, 1.25 AS scale FROM lineitem)"
+
+
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(
+        "l_suppkey", "l_returnflag", F.col("l_quantity").alias("x_a"), (F.col("l_discount") * 40).alias("y_a"), (F.col("l_linenumber") <= 4).alias("inlier"),
+        (1 + F.col("l_tax") * 10).alias("sigma_a"), (1 + F.col("l_discount") * 20).alias("sigma_b"), F.lit(1.25).alias("scale"),
+    )
+
+
+@query(f"WITH {MATCHES} SELECT l_suppkey, count(DISTINCT (floor(x * 2)::INT, floor(y * 2)::INT)) FILTER (inlier) AS n_in FROM m GROUP BY 1")
+def distinct_inliers(spark, d):
+    return verdicts.distinct_points(_matches(spark, d), ["l_suppkey"])
+
+
+@query(f"WITH {MATCHES}, o AS (SELECT l_suppkey, list(log2(sigma_b / (sigma_a * scale)) ORDER BY log2(sigma_b / (sigma_a * scale))) FILTER (inlier) AS l FROM m GROUP BY 1) SELECT l_suppkey, round(l[len(l) // 2 + 1], 6) AS size_offset FROM o")
+def median_size_offset(spark, d):
+    return verdicts.size_offset(_matches(spark, d), ["l_suppkey"]).withColumn("size_offset", F.round("size_offset", 6))
+
+
+@query("""
+    WITH k AS (SELECT l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'b' ELSE 'a' END AS side, l_quantity AS x, l_discount * 40 AS y, l_linestatus = 'O' AS inside, l_linenumber >= 6 AS inlier FROM lineitem),
+    c AS (SELECT l_suppkey, side, avg(x) AS mx, avg(y) AS my FROM k WHERE inside GROUP BY ALL), b AS (SELECT l_suppkey, side, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM k WHERE inlier GROUP BY ALL)
+    SELECT l_suppkey, bool_or(coalesce(mx BETWEEN x0 AND x1 AND my BETWEEN y0 AND y1, false)) AS centred FROM b LEFT JOIN c USING (l_suppkey, side) GROUP BY 1
+""")
+def centred_evidence(spark, d):
+    rows = table(spark, d, "lineitem").select(
+        "l_suppkey", F.when(F.col("l_returnflag") == "R", "b").otherwise("a").alias("side"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 40).alias("y"), (F.col("l_linestatus") == "O").alias("inside"), (F.col("l_linenumber") >= 6).alias("inlier")
+    )
+    return verdicts.encloses_centre(rows, rows.filter("inlier"), ["l_suppkey"])
+
+
+@query("""
+    WITH p AS (SELECT p_partkey, 1 + p_size / 10.0::DOUBLE AS d1, 2 + p_size / 8.0::DOUBLE AS d2, 3 + p_size / 6.0::DOUBLE AS d4, 5 + p_size / 5.0::DOUBLE AS d8, 0.25 * (1 + p_partkey % 60) AS far, 1 + (p_partkey % 7) / 2.0::DOUBLE AS times, 4 + (p_partkey % 9)::DOUBLE AS g1 FROM part),
+    q AS (SELECT *, least(8.0, 8 / times) AS e FROM p),
+    at_ AS (SELECT *, CASE WHEN far < 1 THEN d1 * far WHEN far < 2 THEN d1 * pow(d2 / d1, log2(far)) WHEN far < 4 THEN d2 * pow(d4 / d2, log2(far) - 1) WHEN far < 8 THEN d4 * pow(d8 / d4, log2(far) - 2) ELSE d8 END AS there,
+        CASE WHEN e < 2 THEN d1 * pow(d2 / d1, log2(e)) WHEN e < 4 THEN d2 * pow(d4 / d2, log2(e) - 1) WHEN e < 8 THEN d4 * pow(d8 / d4, log2(e) - 2) ELSE d8 END AS shared FROM q)
+    SELECT p_partkey, round((log2(d2 / d1) + log2(d4 / d2)) / 2, 6) AS soft, round(there, 6) AS there, round(log2(g1 * times / (d1 * (d8 / shared))), 6) AS extra FROM at_
+""")
+def detail_measures(spark, d):
+    n, k = F.col("p_size").cast("double"), F.col("p_partkey")
+    own = (1 + n / 10, 2 + n / 8, 3 + n / 6, 5 + n / 5)
+    other = ((4 + k % 9).cast("double"), *own[1:])
+    return table(spark, d, "part").select("p_partkey", F.round(sc.softness(own[0], own[1], own[1], own[2]), 6).alias("soft"), F.round(sc.at_distance(own, 0.25 * (1 + k % 60)), 6).alias("there"), F.round(sc.extra_detail(own, other, 1 + (k % 7) / 2.0), 6).alias("extra"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 'identical' WHEN l_linenumber = 2 THEN 'same pixels' ELSE
