@@ -10,36 +10,48 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, DecimalType, StringType, StructType
 
 from kinsift.plans.lineage import materialize, shared_dir, shared_path  # noqa: F401
 
-#: Rows times this many bytes is what a broadcast table of ids is taken to need.
-ID_BYTES = 32
-#: Tables of ids above this size are joined by a shuffle instead of a broadcast.
+#: Tables that hold more than this are joined by a shuffle instead of a broadcast.
 BROADCAST_BYTES = 32 << 20
+#: What a row of a broadcast table needs beside its values.
+ROW_BYTES = 48
 
 
-def scan_partitions(df: DataFrame) -> int:
-    """Number of partitions of a table's plan; nothing is run."""
-    return max(1, df.rdd.getNumPartitions())
+def value_bytes(column: Column, kind: DataType) -> Column:
+    """About how many bytes a value holds."""
+    if isinstance(kind, StructType):
+        return sum((value_bytes(column[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        inner = F.aggregate(column, F.lit(0), lambda t, x: t + value_bytes(x, kind.elementType).cast("int"))
+        return F.coalesce(inner, F.lit(0)) + 16
+    return F.lit(16 if isinstance(kind, DecimalType) else 8)
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str, rows: int | None = None) -> DataFrame:
-    """Joins with a broadcast of the right side only if its counted size allows; beyond that by a shuffle.
+def held_bytes(df: DataFrame) -> int:
+    """About how many bytes a table needs as a broadcast; it should be materialized, as it is read."""
+    row = sum((value_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW_BYTES))
+    return df.agg(F.coalesce(F.sum(row.cast("bigint")), F.lit(0))).first()[0]
 
-    The right side should be materialized: it is counted.
+
+def sized_join(left: DataFrame, right: DataFrame, on, how: str) -> DataFrame:
+    """Joins with a broadcast of the right side only if its measured size allows; beyond that by a shuffle.
+
+    The right side should be materialized: it is measured.
     """
-    rows = right.count() if rows is None else rows
-    if rows * ID_BYTES * max(1, len(right.columns)) <= BROADCAST_BYTES:
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+    return left.join(F.broadcast(right) if held_bytes(right) <= BROADCAST_BYTES else right, on, how)
 
 
 def join_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, weight: str, total: int, parts: int = 1000) -> DataFrame:
     """Left join of rows with groups, a table of one row a key that knows the number of rows of each key.
 
     Keys with more than total / parts rows are fewer than parts, so they are broadcast: their rows
-    stay where they are. All other keys are small enough for a shuffle.
+    stay where they are. All other keys are small enough for a shuffle. Groups' columns should be narrow: what is
+    broadcast is parts rows of them.
     """
     limit = max(1, total // parts)
     columns = [c for c in groups.columns if c != key]

@@ -133,10 +133,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked = rows.join(bitmaps, ["sender", "owner"], "left").select("id", "sha", "sender", "row_no", ((F.col("here") > 1) | (F.coalesce(bit, F.lit(0)) == 1)).alias("suspect"))
     marked = materialize(marked, "marked")
     suspects = marked.filter("suspect")
-    n_suspects = suspects.count()
     # texts of suspects, found again by id; a null id finds its text by null-safe equality
-    wanted = suspects.select(F.col("id").alias("_id")).distinct()
-    texts = sized_join(source, wanted, source["id"].eqNullSafe(F.col("_id")), "left_semi", n_suspects)
+    wanted = materialize(suspects.select(F.col("id").alias("_id")).distinct(), "wanted")
+    texts = sized_join(source, wanted, source["id"].eqNullSafe(F.col("_id")), "left_semi")
     groups = texts.groupBy(F.sha2("norm", 256).alias("sha"), "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).drop("norm")
     groups = materialize(groups, "groups")
     found = materialize(join_by_hot_key(suspects, groups, "sha", "group_size", max(1, total)), "found")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import BROADCAST_BYTES, join_by_hot_key, materialize, unique_columns
+from kinsift.llm.common import BROADCAST_BYTES, held_bytes, join_by_hot_key, materialize, unique_columns
 
 # Names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -342,8 +342,7 @@ def repeated_blocks(parsed: DataFrame) -> DataFrame:
 
 def _with_hosts(parsed: DataFrame, hosts: DataFrame, columns: list[str], sizes: DataFrame) -> DataFrame:
     """Left join of pages with a table of hosts, broadcast if what it holds is small; else rows of large hosts stay where they are."""
-    size = sum((F.octet_length(c) if kind == "string" else F.lit(8) * F.size(c) for c, kind in hosts.dtypes), F.lit(64))
-    if (hosts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] or 0) <= BROADCAST_BYTES:
+    if held_bytes(hosts) <= BROADCAST_BYTES:
         return parsed.join(F.broadcast(hosts), "host", "left")
     counted = materialize(sizes.join(hosts, "host", "left"), "hosts")
     total = counted.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]

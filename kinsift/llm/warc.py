@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsift.llm.common import BROADCAST_BYTES, join_by_hot_key, materialize, sized_join, unique_columns
+from kinsift.llm.common import BROADCAST_BYTES, held_bytes, join_by_hot_key, materialize, sized_join, unique_columns
 from kinsift.plans.lineage import shared_path
 
 # Fixed values of the WARC 1.1 format.
@@ -59,9 +59,9 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     headers = rows.select("id", "url", "sha", "bytes").filter(F.col("bytes") >= min_bytes)
     groups = headers.groupBy("sha").agg(F.max(F.struct("id", "url")).alias("first"), F.count(F.lit(1)).alias("records"), F.first("bytes").alias("size")).filter("records > 1")
     groups = materialize(groups.select("sha", "records", F.col("first.id").alias("_id"), F.col("first.url").alias("_url"), F.lit(True).alias("_shared")), "payloads")
-    held, total = groups.agg(F.coalesce(F.sum(F.lit(128) + F.coalesce(F.octet_length("_url"), F.lit(0))), F.lit(0)), F.coalesce(F.sum("records"), F.lit(0))).first()
+    total = groups.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     # beyond the bound only very common payloads' headers are broadcast, and their rows stay where they are
-    joined = rows.join(F.broadcast(groups), "sha", "left") if held <= BROADCAST_BYTES else join_by_hot_key(rows, groups, "sha", "records", max(1, total))
+    joined = rows.join(F.broadcast(groups), "sha", "left") if held_bytes(groups) <= BROADCAST_BYTES else join_by_hot_key(rows, groups, "sha", "records", max(1, total))
     revisit = F.coalesce(F.col("_shared") & ~F.col("id").eqNullSafe(F.col("_id")), F.lit(False))
     http = F.concat(F.lit(HTTP_HEAD), F.col("bytes").cast("string"), F.lit(CRLF + CRLF))
     head = F.concat(
