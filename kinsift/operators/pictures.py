@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinsift.functions.geometry import affine, compose, mirror
 from kinsift.operators import keep
 from kinsift.operators.kernels import features
 from kinsift.operators.verdicts import Bars, gate
@@ -64,6 +65,35 @@ def with_words(described: DataFrame, vocabulary: features.Vocabulary) -> DataFra
     return described.mapInPandas(run, f"{FEATURES}, words array<array<bigint>>")
 
 
+#: Ways to see a picture again: its features change, and what takes the seen plane back to its own.
+SEEN = ("mirror", "negative")
+
+
+def seen_as(described: DataFrame, way: str) -> DataFrame:
+    """Features of the pictures as their mirror images or negatives would have them; nothing is decoded again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples():
+                k = features.Keypoints(*(np.array(getattr(r, c), np.float32) for c in ("x", "y", "sigma", "angle")), np.frombuffer(r.descriptor, np.uint8).reshape(-1, 128))
+                k = features.mirrored(k, r.w) if way == "mirror" else features.inverted(k)
+                rows.append((r.item, r.w, r.h, r.n, *(getattr(k, c).tolist() for c in ("x", "y", "sigma", "angle")), k.descriptor.tobytes()))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
+
+    return described.select(*[c.split()[0] for c in FEATURES.split(", ")]).mapInPandas(run, FEATURES)
+
+
+def seen_back(fit: DataFrame, way: str, described: DataFrame) -> DataFrame:
+    """FIT of pairs whose first picture was seen that way, as maps of its own plane."""
+    if way != "mirror":
+        return fit
+    met = fit.join(described.select(F.col("item").alias("a"), F.col("w").alias("_w")), "a")
+    total = compose(affine(), mirror(F.col("_w").cast("double")))
+    changed = {f"m{i}": c for i, c in enumerate(total)} | {"rot": F.degrees(F.atan2(total[3], total[0])), "framed": F.lit(False)}
+    return met.select(*[changed.get(c, F.col(c)).alias(c) for c in fit.columns])
+
+
 def picture_postings(worded: DataFrame) -> DataFrame:
     """(item, word, position, path): the words of every keypoint, for the same retrieval as words of texts."""
     rows = worded.select("item", F.posexplode("words").alias("position", "own"))
@@ -112,9 +142,9 @@ def fit_pair(a: features.Keypoints, b: features.Keypoints, pairs: np.ndarray, si
     )
 
 
-def fits(pairs: DataFrame, worded: DataFrame) -> DataFrame:
-    """FIT of each pair (a, b) whose keypoints in common words determine a map."""
-    a = worded.select(*[F.col(c).alias("a" if c == "item" else f"a_{c}") for c in worded.columns])
+def fits(pairs: DataFrame, asking: DataFrame, worded: DataFrame) -> DataFrame:
+    """FIT of each pair (a, b) whose keypoints in common words determine a map; a's features are those of asking."""
+    a = asking.select(*[F.col(c).alias("a" if c == "item" else f"a_{c}") for c in asking.columns])
     b = worded.select(*[F.col(c).alias("b" if c == "item" else f"b_{c}") for c in worded.columns])
     met = pairs.select("a", "b").join(a, "a").join(b, "b")
 
@@ -132,7 +162,11 @@ def fits(pairs: DataFrame, worded: DataFrame) -> DataFrame:
 
 def verify(pairs: DataFrame, worded: DataFrame, planes: DataFrame, bars: Bars = Bars()) -> DataFrame:
     """FIT and PIXELS of the pairs that pass the gate: only those meet their planes (path, w, h, px)."""
-    near = materialize(fits(pairs, worded).filter(gate(bars)), "gated")
+    return read_pixels(fits(pairs, worded, worded), planes, bars)
+
+
+def read_pixels(fit: DataFrame, planes: DataFrame, bars: Bars = Bars()) -> DataFrame:
+    near = materialize(fit.filter(gate(bars)), "gated")
     a = planes.select(F.col("path").alias("a"), F.col("w").alias("a_w"), F.col("h").alias("a_h"), F.col("px").alias("a_px"))
     b = planes.select(F.col("path").alias("b"), F.col("w").alias("b_w"), F.col("h").alias("b_h"), F.col("px").alias("b_px"))
     met = near.join(a, "a").join(b, "b")

@@ -101,3 +101,19 @@ def test_what_a_walk_passes_over(spark, tmp_path):
         listed(hidden=True)
     assert listed(exclude=("old", "*.PNG")) == ["a.jpg", "sub/c.jpeg", "sub/thumbnails/f.jpg"] and listed(extensions=("txt",)) == ["h.txt"]
     assert images.walked_files(spark, [str(root / "@eaDir")], Options()).count() == 1
+
+
+def test_the_second_look(spark, tmp_path):
+    """A mirror image and a negative are found when asked as such; one is a copy to the rule, the other settles nothing."""
+    one, two = planes.resize_area(np.kron(drawn(60), np.ones((2, 2))), 220, 260), planes.resize_area(np.kron(drawn(61), np.ones((2, 2))), 220, 260)
+    for name, a in (("a", one), ("a-mirror", one[:, ::-1][:, 20:]), ("b", two), ("b-negative", 255 - two)):
+        (tmp_path / f"{name}.png").write_bytes(png(a))
+    name = lambda p: p.rsplit("/")[-1][:-4]
+    found = scan_pictures(spark, [str(tmp_path)])
+    claims = {frozenset((name(r["a"]), name(r["b"]))): r for r in found["claims"].collect()}
+    assert set(claims) == {frozenset(("a", "a-mirror")), frozenset(("b", "b-negative"))}
+    mirrored = claims[frozenset(("a", "a-mirror"))]
+    assert mirrored["m0"] * mirrored["m4"] - mirrored["m1"] * mirrored["m3"] < 0 and not mirrored["inverted"] and claims[frozenset(("b", "b-negative"))]["inverted"]
+    actions = {name(r["item"]): r["action"] for r in found["actions"].collect()}
+    assert actions == {"a": "KEEP", "a-mirror": "DELETE", "b": "KEEP", "b-negative": "KEEP"}
+    assert scan_pictures(spark, [str(tmp_path)], Options(mirrored_inverted=False))["claims"].count() == 0
