@@ -50,8 +50,11 @@ def _spans(text: str, pattern: str, kind: int, value_group: int = 0) -> str:
     each = f"arrays_zip(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {value_group}))"
     each = f"transform({each}, m -> named_struct('before', char_length(m['0']), 'long', char_length(m['1']), 'value', m['2']))"
     empty = "cast(array() as array<struct<start:int,kind:int,finish:int,value:string>>)"
-    step = f"named_struct('at', a.at + m.before + m.long, 'out', concat(a.out, array(named_struct('start', a.at + m.before, 'kind', {kind}, 'finish', a.at + m.before + m.long, 'value', m.value))))"
-    return f"CASE WHEN {text} RLIKE {p} THEN aggregate({each}, named_struct('at', 0, 'out', {empty}), (a, m) -> {step}, a -> a.out) ELSE {empty} END"
+    # sums of doubling reach: as many steps as the number of matches has bits, each a pass over them
+    step = "CASE WHEN size(a) > i THEN zip_with(a, concat(array_repeat(0, i), slice(a, 1, size(a) - i)), (x, y) -> x + y) ELSE a END"
+    ends = f"aggregate(transform(sequence(0, cast(ceil(log2(size(e))) as int)), b -> shiftleft(1, b)), transform(e, m -> m.before + m.long), (a, i) -> {step})"
+    found = f"zip_with(e, {ends}, (m, p) -> named_struct('start', p - m.long, 'kind', {kind}, 'finish', p, 'value', m.value))"
+    return f"CASE WHEN {text} RLIKE {p} THEN element_at(transform(array({each}), e -> {found}), 1) ELSE {empty} END"
 
 
 def _with(array: str, name: str, **fields: str) -> str:

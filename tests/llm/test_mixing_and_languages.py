@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from base64 import b32encode
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 
 from kinsift.llm.langid import build_filters, fit_filters, gram_hashes, identify_languages, score_texts
 from kinsift.llm.mixing import length_weight, mixed_documents, pareto_mix
-from kinsift.llm.secrets import find_secrets
+from kinsift.llm.secrets import ALPHABETS, _battery, cuts, find_secrets
 from kinsift.llm.warc import archive_and_resolve, parse_warc, read_warc, warc_records, write_warc
 
 DOCS = "doc_id long, text string, source string"
@@ -242,3 +243,67 @@ def test_archives_with_clashing_names_and_repeated_ids(spark):
     rows = [(7, "u", "one payload " * 9, 1), (7, "u", "one payload " * 9, 1), (7, "v", "one payload " * 9, 1), (3, "w", "one payload " * 9, 1), (2, None, "x" * 300_000, 1)]
     found = archive_and_resolve(spark.createDataFrame(rows, PAGES + ", digest int")).toPandas()
     assert len(found) == 5 and sorted(found[found.record_type == "revisit"].page_id) == [3] and set(found.refers_to.dropna()) == {7}
+
+
+def test_secrets_of_repeated_rows_long_texts_and_clashing_names(spark):
+    """A text with very many matches takes time in proportion; repeated ids are documents of their own."""
+    text = "é token=abcdef0123 and deadbeefdeadbeefdeadbeef; " * 8000
+    rows = [(1, text, "x", 1), (1, "token=abcdef0123", "x", 1), (1, "token=abcdef0123", "x", 1), (None, "secret: zzzzzzz", "x", 1)]
+    began = time.time()
+    found = find_secrets(spark.createDataFrame(rows, "doc_id long, text string, base string, found int")).collect()
+    assert time.time() - began < 60 and len(found) == 4
+    assert sorted((r["n_assign"], r["n_hex"]) for r in found) == [(1, 0)] * 3 + [(8000, 8000)]
+    long = max(found, key=lambda r: r["n_hex"])
+    assert long["base_sha256"] == hashlib.sha256(said(base_spans(text)).encode()).hexdigest()
+
+
+SYMBOLS = {"decimal": "0-9", "hex": "0-9a-f", "HEX": "0-9A-F", "lower": "a-z", "upper": "A-Z", "base32": "A-Z2-7", "base62": "A-Za-z0-9", "base64": "A-Za-z0-9+/", "base64url": "A-Za-z0-9_-", "mixed": "A-Za-z0-9+/_-"}
+
+
+def battery_by_hand(value):
+    """(class, p) from the tests' textbook formulas."""
+    name = next(k for k, cls in SYMBOLS.items() if re.fullmatch(f"[{cls}]+", value))
+    alphabet = ALPHABETS[name]
+    x, k, n = np.array([alphabet.index(c) for c in value], float), len(alphabet), len(value)
+    counts = np.bincount(x.astype(int), minlength=k)
+    chi = ((counts - n / k) ** 2 / (n / k)).sum()
+    uniform = (chi - (k - 1)) / np.sqrt(2 * (k - 1) * (n - 1) / n)
+    high = 2 * x >= k
+    runs, ones = 1 + (high[1:] != high[:-1]).sum(), high.sum()
+    mu = 2 * ones * (n - ones) / n + 1
+    var = (mu - 1) * (mu - 2) / (n - 1)
+    z_runs = (runs - mu) / np.sqrt(var) if var > 0 else 40.0
+    d = x - x.mean()
+    serial = ((d[1:] * d[:-1]).sum() / (d * d).sum() if (d * d).sum() else 1.0) + 1 / n
+    tail = lambda z: min(1.0, max(1e-12, 1 / (1 + np.exp(np.clip(1.5976 * z + 0.07056 * z**3, -700, 700)))))
+    p = [tail(uniform), min(1.0, 2 * tail(abs(z_runs))), min(1.0, 2 * tail(abs(serial) * np.sqrt(n)))]
+    half = -np.log(p).sum()
+    return f"{name}/{int(np.log2(n))}", np.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_battery_equals_textbook_formulas(spark):
+    r = np.random.default_rng(8)
+    values = ["".join(r.choice(list(ALPHABETS[k]), n)) for k in ALPHABETS for n in (20, 33, 90)] + ["a" * 24, "0123456789" * 4, "abababababababababababab", "usr-local-share-of-things", "AAAAAAAAAAAAAAAAAAAAAAAAZ"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, value string").selectExpr("id", "array(named_struct('start', 3, 'finish', 3 + char_length(value), 'value', value)) as c")
+    found = {x["id"]: x["b"][0] for x in rows.selectExpr("id", f"{_battery('c')} as b").collect()}
+    for i, v in enumerate(values):
+        name, p = battery_by_hand(v)
+        assert found[i]["class_name"] == name and found[i]["p"] == pytest.approx(p, rel=1e-6, abs=1e-12), v
+        assert (found[i]["start"], found[i]["finish"]) == (3, 3 + len(v))
+
+
+def test_cuts_equal_the_rule_by_hand(spark):
+    r = np.random.default_rng(9)
+    p = {"hex/5": np.concatenate([r.random(300), r.random(700) * 0.02]), "lower/4": r.random(40) * 0.05, "base62/5": r.random(500)}
+    rows = [([{"class_name": k, "p": float(x)} for x in v],) for k, v in p.items()]
+    least = cuts(spark.createDataFrame(rows, "candidates array<struct<class_name:string,p:double>>"), 0.1)
+    want = {}
+    for k, v in p.items():
+        bins = np.minimum((v * 100).astype(int), 99)
+        random = 2 * (bins >= 50).sum()
+        for b in range(1, 100):
+            above = (bins >= b).sum()
+            if above and 1 - random * (1 - b / 100) / above <= 0.1:
+                want[k] = b / 100
+                break
+    assert least == want and 0 < want["hex/5"] < 0.2
