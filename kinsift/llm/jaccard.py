@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,10 +87,11 @@ def _from_refs(data: bytes, tokens: int) -> np.ndarray:
     return np.frombuffer(data, np.uint16 if len(data) == 2 * tokens else np.uint32)
 
 
-def _flush(names: list[tuple[int, int]], sets: list[np.ndarray], bits: int, starts: np.ndarray) -> pa.RecordBatch:
+def _flush(names: list[tuple[int, int]], sets: list[np.ndarray], bits: int, starts: np.ndarray, number: int) -> pa.RecordBatch:
     sizes, names = np.array([len(s) for s in sets], np.int32), np.array(names, np.uint64).reshape(-1, 2)
-    # named by what it holds: a rerun that deals rows otherwise makes other flushes
-    flush = int(mixed(names[:, 0] ^ mixed(names[:, 1])).sum(dtype=np.uint64).view(np.int64))
+    # named by its number and by what it holds: a rerun that deals rows otherwise makes other flushes
+    held = mixed(names[:, 0] ^ mixed(names[:, 1])).sum(dtype=np.uint64)
+    flush = int(mixed(np.array([held], np.uint64) + np.uint64(number) * np.uint64(0x9E3779B97F4A7C15))[0].view(np.int64))
     tokens, refs = np.concatenate(sets) >> np.uint64(64 - bits), np.repeat(np.arange(len(sets), dtype=np.uint32), sizes)
     order = np.argsort(tokens)
     tokens, refs = tokens[order], refs[order]
@@ -114,6 +116,7 @@ def _send(words: int, owners: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         names, sets, held = [], [], 0
+        number = TaskContext.get().partitionId() << 20
         for batch in batches:
             for s in batch_sets(batch.column(0), words):
                 if not len(s) or (name := set_name(s)) in seen:  # a partition sends a class once
@@ -123,10 +126,10 @@ def _send(words: int, owners: int, bits: int):
                 sets.append(s)
                 held += len(s)
                 if held >= FLUSH_SHINGLES:
-                    yield _flush(names, sets, bits, starts)
-                    names, sets, held = [], [], 0
+                    yield _flush(names, sets, bits, starts, number)
+                    names, sets, held, number = [], [], 0, number + 1
         if sets:
-            yield _flush(names, sets, bits, starts)
+            yield _flush(names, sets, bits, starts, number)
         del names, sets
         give_back()
 
