@@ -16,11 +16,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-        path = tempfile.mkdtemp(prefix="kinsift-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="kinsift-")
+        _own[spark.sparkContext.applicationId] = path
     return path.rstrip("/")
 
 
+#: Folders made here, by application.
+_own: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/kinsift/{name}-{uuid.uuid4().hex}"
     for made in _open:
