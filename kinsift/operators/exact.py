@@ -109,3 +109,14 @@ def name_ranks(items: DataFrame, name: str) -> DataFrame:
     counts = items.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
     ranks = running_sum(counts, [F.col(name)], F.col("_n"), "_up_to").select(name, (F.col("_up_to") - F.col("_n")).alias("name_rank"))
     return items.join(ranks, name)
+
+
+def alike_in_colour(a_colour: Column, b_colour: Column, a_coding: Column, b_coding: Column, apart: Column, bar: float = 1.5) -> Column:
+    """What two files of one grey plane are: twins if their colour is the same, to the bit or by one coding, or their chroma lies within the bar; null if nothing says."""
+    coded = a_coding.isNotNull() & (a_coding == b_coding)
+    return F.when((a_colour == b_colour) | coded, "twin").when(apart <= bar, "twin").when(apart.isNotNull(), "apart")
+
+
+def settles_sameness(several: Column, features: Column) -> Column:
+    """Whether a file's analysis may say that it is another's: it shows one picture, and something in it could be matched."""
+    return ~several & (features > 0)

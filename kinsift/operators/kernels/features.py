@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -183,6 +183,7 @@ class Vocabulary:
 
     branching: int
     levels: list[tuple[np.ndarray, np.ndarray]]
+    stands: dict[int, int] = field(default_factory=dict)
 
     def children(self, level: int, node: int) -> slice:
         nodes = self.levels[level][0]
@@ -232,7 +233,27 @@ def grow(sample: np.ndarray, depth: int, branching: int, seed: int = 0) -> Vocab
             after[members] = parent * branching + distances(data, made).argmin(axis=1)
         levels.append((np.concatenate(nodes), np.concatenate(centres)))
         own = after
-    return Vocabulary(branching, levels)
+    made = Vocabulary(branching, levels)
+    made.stands = floored(made)
+    return made
+
+
+# Fixed value: descriptors of sibling leaves nearer than this say the same.
+WORD_FLOOR = 143.0
+
+
+def floored(v: Vocabulary, floor: float = WORD_FLOOR) -> dict[int, int]:
+    """The leaves that stand for another one: of sibling leaves nearer than the floor, directly or through others, the lowest is the word of all."""
+    nodes, centres = v.levels[-1]
+    stands: dict[int, int] = {}
+    for parent in np.unique(nodes // v.branching):
+        own = v.children(len(v.levels) - 1, int(parent))
+        near = distances(centres[own], centres[own]) < floor * floor
+        for _ in range(len(near).bit_length() + 1):
+            near = near.astype(int) @ near > 0
+        first = near.argmax(axis=1)
+        stands |= {int(n): int(nodes[own][f]) for n, f in zip(nodes[own], first, strict=True) if nodes[own][f] != n}
+    return stands
 
 
 def quantise(v: Vocabulary, descriptors: np.ndarray, paths: int = 3, ratio: float = 1.3) -> list[list[int]]:
@@ -245,7 +266,7 @@ def quantise(v: Vocabulary, descriptors: np.ndarray, paths: int = 3, ratio: floa
             far = distances(d[None], centres[below])[0]
             order = np.argsort(far, kind="stable")[:paths]
             beam = [int(nodes[below[i]]) for i in order if far[i] <= ratio * far[order[0]]]
-        words.append(beam)
+        words.append(list(dict.fromkeys(v.stands.get(w, w) for w in beam)))
     return words
 
 

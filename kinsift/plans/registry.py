@@ -925,6 +925,72 @@ def incremental_ingest(spark, d):
     return spark.read.parquet(f"{base}/answers").select("item", "verdict", "of")
 
 
+# ---- excludes, truth and what has lapsed
+
+
+@query("""WITH n AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN '/data/' || s_suppkey WHEN 1 THEN '*.' || s_suppkey WHEN 2 THEN '/gone/' || s_suppkey ELSE '/data/[' || s_suppkey || ']' END AS name, s_suppkey AS k FROM supplier)
+    SELECT name, CASE WHEN k % 4 = 0 OR (k % 4 = 3 AND k % 8 = 3) THEN 'path' WHEN k % 4 IN (1, 3) THEN 'pattern' ELSE 'missing' END AS kind, CASE WHEN k % 4 = 0 OR (k % 4 = 3 AND k % 8 = 3) THEN '/real' || name ELSE name END AS means FROM n""")
+def resolved_excludes(spark, d):
+    k = F.col("s_suppkey")
+    text = k.cast("string")
+    name = F.when(k % 4 == 0, F.concat(F.lit("/data/"), text)).when(k % 4 == 1, F.concat(F.lit("*."), text)).when(k % 4 == 2, F.concat(F.lit("/gone/"), text)).otherwise(F.concat(F.lit("/data/["), text, F.lit("]")))
+    named = table(spark, d, "supplier").select(k, name.alias("name"))
+    there = named.filter((k % 4 == 0) | (k % 8 == 3)).select(F.col("name").alias("path"), F.concat(F.lit("/real"), "name").alias("canonical"))
+    return listing.resolve_excludes(named.select("name"), there)
+
+
+@query("""WITH e AS (SELECT DISTINCT unnest([split_part(p, '/', 1), split_part(p, '/', 1) || '/' || split_part(p, '/', 2), p]) AS prefix FROM (SELECT regexp_replace(url, '^[a-z]+://', '') AS p FROM pages)),
+    r AS (SELECT regexp_replace(url, '^[a-z]+://', '') AS root FROM pages WHERE page_id < 5) SELECT prefix FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE root = prefix OR starts_with(root, prefix || '/'))""")
+def sparing_excludes(spark, d):
+    found = paths(spark, d)
+    parts = F.split("path", "/")
+    # a path without a slash has an empty second part
+    prefixes = found.select(F.explode(F.array(parts[0], F.concat(parts[0], F.lit("/"), F.coalesce(F.get(parts, 1), F.lit(""))), F.col("path"))).alias("prefix")).distinct()
+    return listing.sparing(prefixes, found.filter("page_id < 5").select(F.col("path").alias("root")))
+
+
+TRUTH = """p AS (SELECT l_orderkey * 10 + l_linenumber AS a, l_orderkey * 10 AS b, CASE WHEN l_linenumber <= 4 THEN 'ORIGINAL' ELSE 'v' || (l_suppkey % 5) END AS va, 'v' || (l_partkey % 6) AS vb,
+    (['SAME', 'CROP', 'PARTIAL', 'DIFFERENT'])[l_partkey % 4 + 1] AS relation, CASE WHEN l_suppkey % 3 = 0 THEN 'turn,crop' WHEN l_suppkey % 3 = 1 THEN 'none' END AS geometry, l_tax > 0.02 AS found FROM lineitem),
+    t AS (SELECT *, CASE WHEN relation = 'PARTIAL' OR coalesce(list_contains(string_split(geometry, ','), 'turn'), false) OR va = 'v3' OR vb = 'v3' THEN 'skipped' WHEN relation IN ('SAME', 'CROP') THEN 'positive' ELSE 'negative' END AS counts FROM p)"""
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    n, s = F.col("l_orderkey") * 10, F.col("l_suppkey")
+    pairs = table(spark, d, "lineitem").select(
+        (n + F.col("l_linenumber")).alias("a"), n.alias("b"), F.when(F.col("l_linenumber") <= 4, "ORIGINAL").otherwise(F.concat(F.lit("v"), (s % 5).cast("string"))).alias("variant_a"), F.concat(F.lit("v"), (F.col("l_partkey") % 6).cast("string")).alias("variant_b"),
+        F.element_at(F.array(*map(F.lit, ("SAME", "CROP", "PARTIAL", "DIFFERENT"))), (F.col("l_partkey") % 4 + 1).cast("int")).alias("relation"), F.when(s % 3 == 0, "turn,crop").when(s % 3 == 1, "none").alias("geometry"), (F.col("l_tax") > 0.02).alias("found"),
+    )
+    return evaluate.truth_sets(pairs, ("turn",), ("v3",))
+
+
+@query(f"WITH {TRUTH} SELECT a, b, counts FROM t")
+def truth_sets(spark, d):
+    return _truth(spark, d).select("a", "b", "counts")
+
+
+@query(f"WITH {TRUTH} SELECT vb AS transform, count(f.a) AS hits, count(*) AS pairs FROM t LEFT JOIN (SELECT DISTINCT a, b FROM t WHERE found) f ON f.a = t.a AND f.b = t.b WHERE counts = 'positive' AND va = 'ORIGINAL' GROUP BY 1")
+def transform_hits(spark, d):
+    truth = _truth(spark, d)
+    return evaluate.transform_hits(truth.filter("found").select("a", "b"), truth)
+
+
+@query(f"""WITH {LAPSED}, g AS (SELECT l_orderkey AS "group", l_suppkey AS item, l_linenumber = 1 AS rep, l_discount * 10 AS c FROM lineitem), x AS (SELECT item, lapse FROM lapsed WHERE lapse IS NOT NULL),
+    kept AS (SELECT * FROM g WHERE "group" NOT IN (SELECT "group" FROM g WHERE rep AND item IN (SELECT item FROM x)) AND item NOT IN (SELECT item FROM x WHERE lapse = 'gone')),
+    b AS (SELECT item, max(rep) AS rep, max(CASE WHEN NOT rep THEN c END) AS best FROM kept GROUP BY 1)
+    SELECT item, CASE WHEN rep THEN 'KEEP' WHEN best >= 0.65 + 5.0::DOUBLE / 7 * (1 - 0.65) THEN 'DELETE' WHEN best >= 0.65 THEN 'KEEP' ELSE 'REVIEW' END AS action FROM b""")
+def actions_now(spark, d):
+    seats = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_suppkey").alias("item"), (F.col("l_linenumber") == 1).alias("representative"), (F.col("l_discount") * 10).alias("correlation"))
+    return decide.actions_now(seats, _lapsed(spark, d), 0.65)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR (p_size % 5 = 0 AND p_size % 2 = 0) THEN 'twin' WHEN p_size % 7 = 0 THEN NULL WHEN p_size / 20.0 <= 1.5 THEN 'twin' ELSE 'apart' END AS alike, p_size % 4 <> 0 AND p_size > 10 AS settles FROM part""")
+def colour_twins(spark, d):
+    n = F.col("p_size")
+    coding = F.when(n % 2 == 0, "c")
+    said = exact.alike_in_colour(F.lit(1.0), F.when(n % 3 == 0, 1.0).otherwise(2.0), coding, F.when(n % 5 == 0, "c"), F.when(n % 7 != 0, n / 20.0))
+    return table(spark, d, "part").select("p_partkey", said.alias("alike"), exact.settles_sameness(n % 4 == 0, n - 10).alias("settles"))
+
+
 # ---- pictures
 
 

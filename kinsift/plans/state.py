@@ -62,3 +62,10 @@ def kept_result(spark: SparkSession, path: str, names: tuple[str, ...]) -> tuple
     if head["format"] != FORMAT:
         raise ValueError(f"kept by format {head['format']}, this is {FORMAT}")
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}, head
+
+
+def with_colour(analyses: DataFrame, measured: DataFrame) -> DataFrame:
+    """Analyses with a colour that was measured late (hash, colour) in every record of that content that has none yet."""
+    late = measured.groupBy("hash").agg(F.first("colour", ignorenulls=True).alias("_late"))
+    met = analyses.join(late, "hash", "left")
+    return met.select(*[F.coalesce("colour", "_late").alias("colour") if c == "colour" else F.col(c) for c in analyses.columns])

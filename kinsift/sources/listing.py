@@ -115,12 +115,38 @@ def excluded(path: Column, prefixes: Iterable[str] = (), patterns: Iterable[str]
     return out
 
 
-def exclude_under(files: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Files not under any of many prefixes (prefix): a file's own prefixes are compared with them by equality."""
-    parts = F.split("path", "/")
+def exclude_under(files: DataFrame, prefixes: DataFrame, path: str = "path") -> DataFrame:
+    """Files not under any of many prefixes (prefix): a file's own prefixes are compared with them by equality. `path` may be the canonical one, for files met through links."""
+    parts = F.split(path, "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    hit = files.select("path", F.explode(above).alias("prefix")).join(prefixes, "prefix", "left_semi").select("path").distinct()
-    return files.join(hit, "path", "left_anti")
+    hit = files.select(path, F.explode(above).alias("prefix")).join(prefixes, "prefix", "left_semi").select(path).distinct()
+    return files.join(hit, path, "left_anti")
+
+
+def resolve_excludes(named: DataFrame, there: DataFrame) -> DataFrame:
+    """Excludes (name) with what each is: a path, if there is one of that name (there: path, canonical), then in its canonical
+    form; else a pattern, if it holds a wildcard; else nothing, which is a problem."""
+    met = named.join(there.select(F.col("path").alias("name"), "canonical"), "name", "left")
+    kind = F.when(F.col("canonical").isNotNull(), "path").when(F.col("name").rlike(r"[*?\[]"), "pattern").otherwise("missing")
+    return met.select("name", kind.alias("kind"), F.coalesce("canonical", "name").alias("means"))
+
+
+def sparing(excludes: DataFrame, libraries: DataFrame) -> DataFrame:
+    """Excludes (prefix) without those that would remove a whole library (root): the library itself, or a folder above it."""
+    whole = F.col("root").startswith(F.concat("prefix", F.lit("/"))) | (F.col("root") == F.col("prefix"))
+    # roots are what a user names: a few
+    return excludes.join(F.broadcast(libraries.select("root")), whole, "left_anti")
+
+
+def why_no_library(roots: DataFrame, files: DataFrame) -> DataFrame:
+    """(root, reason) of library roots that gave no file: missing, the scan's own, no picture directly in it, or none at all.
+
+    roots is (root, exists, scanned, recursive); files is (path, root, wanted: whether it would be asked).
+    """
+    held = files.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("wanted").cast("int")).alias("wanted"))
+    met = roots.join(held, "root", "left").filter(F.coalesce("wanted", F.lit(0)) == 0)
+    reason = F.when(~F.col("exists"), "it is not there").when(F.col("scanned"), "its files are among the scanned ones").when(~F.col("recursive"), "it has no picture directly in it").otherwise("it has no picture in it")
+    return met.select("root", reason.alias("reason"))
 
 
 def hidden(path: Column) -> Column:

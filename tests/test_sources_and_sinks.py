@@ -84,3 +84,31 @@ def test_scan_and_library(spark):
     library = docs.filter("doc_id in (1, 4)").select(F.col("doc_id").alias("item"), "text")
     scanned = spark.createDataFrame([(10, base), (11, "nothing of it")], "item long, text string")
     assert {r["item"]: r["verdict"] for r in ask_library(scanned, library).collect()} == {10: "repeat", 11: "new"}
+
+
+def test_claims_of_tools(spark, tmp_path):
+    import json
+
+    from kinsift.operators import evaluate
+
+    files = {
+        "pairs": {"tool": "p", "pairs": [{"a": "y", "b": "x"}, {"a": "x", "b": "y"}], "groups": [["x", "y", "z"]], "identical": [{"files": [{"path": "u"}, {"path": "v"}, {"path": "w"}]}]},
+        "groups": {"tool": "g", "groups": [["b", "a", "c"], {"files": [{"path": "d"}, {"path": "e"}]}]}, "none": {"tool": "n", "groups": []}, "metrics": [1, 2],
+    }
+    for name, said in files.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(said))
+    found = sorted((r["tool"], r["a"], r["b"]) for r in evaluate.load_claims(spark, [str(tmp_path)]).collect())
+    assert found == [("g", "a", "b"), ("g", "a", "c"), ("g", "b", "c"), ("g", "d", "e"), ("p", "u", "v"), ("p", "u", "w"), ("p", "v", "w"), ("p", "x", "y")]
+
+
+def test_late_colours_and_empty_libraries(spark):
+    from kinsift.plans import state
+    from kinsift.sources import listing
+
+    analyses = spark.createDataFrame([("h", "1", None), ("h", "2", None), ("i", "1", 2.0), ("j", "1", None)], "hash string, version string, colour double")
+    found = state.with_colour(analyses, spark.createDataFrame([("h", 7.0), ("i", 9.0), ("h", None)], "hash string, colour double"))
+    assert sorted((r["hash"], r["colour"]) for r in found.collect() if r["colour"]) == [("h", 7.0), ("h", 7.0), ("i", 2.0)] and found.columns == analyses.columns
+    roots = spark.createDataFrame([("a", False, False, True), ("b", True, True, True), ("c", True, False, False), ("d", True, False, True), ("e", True, False, True)], "root string, exists boolean, scanned boolean, recursive boolean")
+    files = spark.createDataFrame([("d/x.txt", "d", False), ("e/x.jpg", "e", True)], "path string, root string, wanted boolean")
+    said = {r["root"]: r["reason"] for r in listing.why_no_library(roots, files).collect()}
+    assert set(said) == set("abcd") and said["a"] == "it is not there" and "directly" in said["c"]
