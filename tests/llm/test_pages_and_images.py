@@ -5,6 +5,7 @@ import re
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinsift.llm.html_text import best_path, extract_pages, main_text, read_page
@@ -136,8 +137,11 @@ def test_consensus_finds_the_turn():
     assert n > 20 and abs(scale - 1) < 1e-6 and min(turn, 360 - turn) < 1e-3
 
 
-def test_recall_of_the_tables(spark):
-    """Copies found through the tables, of those found by comparing every descriptor with every other one."""
+@pytest.mark.parametrize("width", [None, 28])
+def test_recall_of_the_tables(spark, monkeypatch, width):
+    """Copies found through the tables, of those found by comparing every descriptor with every other one; wide keys are those of a large table."""
+    if width:
+        monkeypatch.setattr(media, "key_width", lambda corners: width)
     r = np.random.default_rng(6)
     v = r.normal(size=(150, 64))
     noise = np.repeat([0.02, 0.05, 0.1], 50)[:, None]
