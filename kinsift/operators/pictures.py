@@ -46,9 +46,10 @@ def fit_vocabulary(described: DataFrame, sample: int | None = None, seed: int =
 
     def every(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"d": [np.frombuffer(d, np.uint8).reshape(-1, 128)[::step].tobytes() for d in batch["descriptor"]]})
+            yield pd.DataFrame({"item": batch["item"], "d": [np.frombuffer(d, np.uint8).reshape(-1, 128)[::step].tobytes() for d in batch["descriptor"]]})
 
-    parts = described.select("descriptor").mapInPandas(every, "d binary").toPandas()["d"]
+    # in the order of names, so that the tree is the same however the pictures were dealt
+    parts = described.select("item", "descriptor").mapInPandas(every, "item string, d binary").toPandas().sort_values("item")["d"]
     data = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 128).astype(np.float32)
     return features.grow(data, depth, branching, seed)
 
@@ -130,6 +131,15 @@ def fit_pair(a: features.Keypoints, b: features.Keypoints, pairs: np.ndarray, si
         if better is None:
             break
         m = better
+    # the map is fitted last to the matches that lie nearest to it: guided ones may be off by the whole tolerance
+    pa, pb = np.column_stack([a.x, a.y])[own[:, 0]].astype(float), np.column_stack([b.x, b.y])[own[:, 1]].astype(float)
+    for _ in range(3):
+        off = np.hypot(*(pa @ m[:, :2].T + m[:, 2] - pb).T)
+        near = off <= max(1.0, 2 * float(np.median(off)))
+        better = features.fit_affine(pa[near], pb[near]) if near.sum() >= 6 else None
+        if better is None:
+            break
+        m = better
     back = keep.inverse(m)
     linear, tolerance = m[:, :2], max(3.0, 0.015 * np.hypot(*size_b))
     corners = np.array([(0, 0), (1, 0), (0, 1), (1, 1)])
