@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +18,45 @@ def probes(vectors: DataFrame, centres: DataFrame, most: int = 3, ratio: float =
     """(item, word, d2, path): up to `most` centres within ratio times the nearest one's squared distance, nearest first.
 
     vectors and centres are (item, v) and (word, v); the centres are a vocabulary, collected in one row
-    beside each vector, so that a vector's words are found in its own row, without a join on it.
+    that goes to each task, so that a vector's words are found where it lies, without a join on it.
     """
     book = centres.agg(F.sort_array(F.collect_list(F.struct("word", "v"))).alias("book"))
-    near = F.transform("book", lambda c: F.struct(F.round(squared_distance(F.col("v"), c["v"]), digits).alias("d2"), c["word"].alias("word")))
-    rows = vectors.join(F.broadcast(book)).select("item", F.slice(F.array_sort(near), 1, most).alias("near"))
-    rows = rows.select("item", F.filter("near", lambda c: c["d2"] <= F.col("near")[0]["d2"] * ratio).alias("near"))
+    kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema.fields, *centres.schema.fields]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if words is None:
+                words = batch.column("book")[0].values
+                if words is None or not len(words):
+                    return
+                marks = np.array(words.field("v").to_pylist(), np.float64)
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                part = part.filter(pa.array([v is not None and len(v) == marks.shape[1] and None not in v for v in part.column("v").to_pylist()], pa.bool_()))
+                if not part.num_rows:
+                    continue
+                v = np.array(part.column("v").to_pylist(), np.float64)
+                d2 = np.zeros((len(v), len(marks)))
+                # number by number, so that sums round as they do row by row
+                for j in range(marks.shape[1]):
+                    step = v[:, j, None] - marks[None, :, j]
+                    d2 += step * step
+                # the nearest with a margin: which of them count is said on rounded distances
+                bar = np.partition(d2, min(most, len(marks)) - 1, axis=1)[:, min(most, len(marks)) - 1]
+                row, column = np.nonzero(d2 <= bar[:, None] + 10.0**-digits)
+                near = pa.StructArray.from_arrays([pa.array(d2[row, column]), words.field("word").take(pa.array(column))], ["d2", "word"])
+                cuts = np.searchsorted(row, np.arange(len(v) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("item"), pa.ListArray.from_arrays(pa.array(cuts), near)], ["item", "near"])
+
+    # the vocabulary goes along with the first row of each partition's batches only
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    rows = vectors.select("item", "v").withColumn("_first", first).join(F.broadcast(book)).select("item", "v", F.when(F.col("_first"), F.col("book")).alias("book"))
+    near = rows.mapInArrow(run, f"item {kinds['item']}, near array<struct<d2: double, word: {kinds['word']}>>")
+    rounded = F.transform("near", lambda c: F.struct(F.round(c["d2"], digits).alias("d2"), c["word"].alias("word")))
+    rows = near.select("item", F.slice(F.array_sort(rounded), 1, most).alias("near")).select("item", F.filter("near", lambda c: c["d2"] <= F.col("near")[0]["d2"] * ratio).alias("near"))
     return rows.select("item", F.posexplode("near").alias("path", "c")).select("item", F.col("c.word").alias("word"), F.col("c.d2").alias("d2"), "path")
 
 
