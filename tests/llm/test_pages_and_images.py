@@ -180,6 +180,44 @@ def test_matches_are_within_the_radius(spark):
     assert sum((i, 100 + i) in found for i in range(41)) >= 38 and not any((i, 100 + i) in found for i in range(41, 60))
 
 
+def test_rows_of_matches_dont_grow_with_the_asked_copies(spark):
+    """Near copies of one picture: matches are lists, not rows, and no match is lost."""
+    r = np.random.default_rng(12)
+    bits = r.integers(0, 2, (4, 256), np.uint8)
+    rows = []
+    for c in range(60):
+        for k, b in enumerate(bits):
+            own = b.copy()
+            own[r.permutation(256)[:3]] ^= 1
+            rows.append((c, c < 40, None if c >= 40 else 7 * c, k, float(k), 1.0, 1.0, 0.0, *np.packbits(own).view(np.int64).tolist()))
+    corners = spark.createDataFrame(rows, "cls long, asked boolean, asked_id long, corner int, x float, y float, scale float, angle float, p0 long, p1 long, p2 long, p3 long")
+    packed = media.packed_matches(corners, 40).collect()
+    assert len(packed) < 60 * 40 * 4 / 2, len(packed)
+    lists = {}
+    for x in packed:
+        for m in x["met"]:
+            assert m["asked_id"] == 7 * m["q"] and m["x"] == m["cq"] and m["ix"] == m["ci"]
+            lists.setdefault((m["i"], m["ci"], m["q"], m["cq"]), []).append(m["apart"])
+    words = np.array([x[8:] for x in rows], np.int64).view(np.uint64).reshape(60, 4, 4)
+    want = {(i, k, q, k): int(np.bitwise_count(words[i, k] ^ words[q, k]).sum()) for i in range(60) for q in range(40) for k in range(4)}
+    assert {k: v[0] for k, v in lists.items()} == want and all(len(v) == 1 for v in lists.values())
+    assert {(x["i"], x["ci"], x["q"], x["cq"]): x["apart"] for x in descriptor_matches(corners, 40).collect()} == want
+
+
+def test_keys_of_many_descriptors_are_split(spark, monkeypatch):
+    r = np.random.default_rng(13)
+    v = r.normal(size=64)
+    df = spark.createDataFrame([(i, (v + r.normal(0, 0.02, 64)).tolist()) for i in range(40)], "vec_id long, embedding array<double>")
+
+    def links():
+        return {(x["vec_id"], x["n_links"], tuple(q["query_id"] for q in x["links"])) for x in find_copies(df, F.col("vec_id") < 20, "vec_id", "embedding", vector_planes).collect()}
+
+    want = links()
+    for name, value in (("KEY_ROWS", 5), ("PART_ROWS", 500), ("ASKED_BLOCK", 4), ("BUNDLE", 4), ("PAIRS", 50), ("TABLES_AT_ONCE", 3)):
+        monkeypatch.setattr(media, name, value)
+    assert links() == want and sum(n for _, n, _ in want) > 400
+
+
 def test_small_crops_and_strong_resizes_of_large_images(spark):
     r = np.random.default_rng(8)
     rows = []
